@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import chat, mixing, quality, token_io
+from veilspark.llm import chat, language, licenses, mixing, pieces, quality, token_io
 from veilspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,12 +59,26 @@ FROM x
 """
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict_documents(docs, language.fit(docs))
+
+
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids' digest and the round trip of every whole text."""
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")).drop("ids")
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_io.token_file_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_quality": op1_quality, "op3_chat": op3_chat, "op4_mixing": op4_mixing, "op10_token_ids": op10_token_ids}
+    return {"op1_quality": op1_quality, "op3_chat": op3_chat, "op4_mixing": op4_mixing, "op5_licenses": op5_licenses, "op7_language": op7_language, "op8_pieces": op8_pieces, "op10_token_ids": op10_token_ids}
 
 
 def oracle_sql() -> dict[str, str]:
