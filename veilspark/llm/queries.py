@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import chat, language, licenses, mixing, pieces, quality, token_io
+from veilspark.llm import chat, html_main, language, licenses, mixing, pieces, quality, token_io
 from veilspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,12 +73,16 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")).drop("ids")
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_io.token_file_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_quality": op1_quality, "op3_chat": op3_chat, "op4_mixing": op4_mixing, "op5_licenses": op5_licenses, "op7_language": op7_language, "op8_pieces": op8_pieces, "op10_token_ids": op10_token_ids}
+    return {"op1_quality": op1_quality, "op3_chat": op3_chat, "op4_mixing": op4_mixing, "op5_licenses": op5_licenses, "op7_language": op7_language, "op8_pieces": op8_pieces, "op9_html": op9_html, "op10_token_ids": op10_token_ids}
 
 
 def oracle_sql() -> dict[str, str]:
