@@ -5,7 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word: a run of code points other than ASCII space, tab, newline, vertical tab, form feed, carriage return.
@@ -53,3 +57,24 @@ def materialized(df: DataFrame, label: str) -> DataFrame:
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ids_by_unit(lists: pa.ListArray, ids_of: Callable[[list[str]], list[list[int]]], kind: type = np.uint32) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts given as lists of units, joined, and the number of ids of each text.
+
+    Distinct units are found in Arrow; only they become Python strings, and ``ids_of`` sees each once.
+    """
+    coded = lists.flatten().dictionary_encode()
+    if isinstance(coded, pa.ChunkedArray):
+        coded = coded.combine_chunks()
+    found = ids_of(coded.dictionary.to_pylist())
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    flat = np.fromiter(chain.from_iterable(found), kind, int(sizes.sum()))
+    starts = np.cumsum(sizes) - sizes
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    own = sizes[codes]
+    ends = np.cumsum(own)
+    total = int(ends[-1]) if len(ends) else 0
+    joined = flat[np.arange(total) + np.repeat(starts[codes] - (ends - own), own)]
+    bounds = np.r_[0, ends][lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    return joined, np.diff(bounds)

@@ -21,12 +21,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from veilspark.llm.common import bound_batches
+from veilspark.llm.common import bound_batches, ids_by_unit
 
 SPACE = "▁"
+#: Put between units; the rare texts that have it themselves are cut by the pattern instead.
+CUT = "\x01"
+LETTERS = "".join(c for c in map(chr, range(65, 592)) if c.isalpha())
+#: A run of spaces with what follows it, a newline, or what follows a newline. No piece contains a newline.
+UNIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
 #: What is remembered: units of at most so many characters, and so many of them.
 CACHE_CHARS, CACHE_UNITS = 48, 400_000
 #: Remembered verdicts on pairs of pieces.
@@ -63,6 +69,9 @@ class PieceModel:
         self.split: dict[str, tuple[str, str]] = {}
         self.cache: dict[str, list[int]] = {}
         self.alphabet = set("".join(self.normal))
+        inner = {x[i : i + 2] for x in self.normal for i in range(len(x) - 1)}
+        #: Marks that no piece has behind a Latin letter: the lattice always meets between the two.
+        self.marks = "".join(c for c in ".,;:!?" if not any(x + c in inner for x in LETTERS))
 
     def merged(self, text: str, stop: int = 1) -> list[str]:
         """Merging by score of a short text, the leftmost of equals first, down to ``stop`` parts: what defines the edges."""
@@ -184,24 +193,34 @@ class PieceModel:
             end -= len(last[end])
         return [x for p in reversed(pieces) for x in self.ids_of(p)]
 
-    def encode(self, text: str | None) -> list[int]:
-        """Ids of one whole text."""
-        if not text:
-            return []
-        units = UNIT.findall(SPACE + text.replace(" ", SPACE))
+    def _ids_of(self, units: list[str]) -> list[list[int]]:
         cache = self.cache
-        own: dict[str, list[int]] = {}
-        for u in set(units):
-            if u not in cache:
+        if len(cache) > CACHE_UNITS:
+            cache.clear()
+        out = []
+        for u in units:
+            ids = cache.get(u)
+            if ids is None:
                 if len(u) <= CACHE_CHARS:
-                    cache[u] = self.unit(u)
+                    ids = cache[u] = self.unit(u) if u else []
                 else:
-                    own[u] = list(chain.from_iterable(self.viterbi(u)))
-        look = cache.__getitem__ if not own else lambda u: cache[u] if u in cache else own[u]
-        ids = list(chain.from_iterable(map(look, units)))
-        if len(cache) > CACHE_UNITS:
-            self.cache = {}
-        return ids
+                    ids = list(chain.from_iterable(self.viterbi(u)))
+            out.append(ids)
+        return out
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of every whole text of an array without nulls."""
+        own = pc.replace_substring(texts, " ", SPACE)
+        # A space is put before every text that is not empty; then every place where the lattice must meet is cut.
+        own = pc.if_else(pc.equal(own, ""), own, pc.binary_join_element_wise(SPACE, own, ""))
+        cut = pc.replace_substring_regex(pc.replace_substring(own, "\n", f"{CUT}\n{CUT}"), f"({SPACE}+)", f"{CUT}\\1")
+        if self.marks:
+            cut = pc.replace_substring_regex(cut, f"([{LETTERS}])([{self.marks}])", f"\\1{CUT}\\2")
+        joined, sizes = ids_by_unit(pc.split_pattern(cut, CUT), self._ids_of, np.int32)
+        out = np.split(joined, np.cumsum(sizes)[:-1]) if len(sizes) else []
+        for i in np.flatnonzero(pc.match_substring(texts, CUT).to_numpy(zero_copy_only=False)):
+            out[i] = np.array([x for ids in self._ids_of(UNIT.findall(own[int(i)].as_py())) for x in ids], np.int32)
+        return out
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ``ids``: pieces joined, byte pieces put together, the space added at the start removed."""
@@ -209,9 +228,6 @@ class PieceModel:
         return text[1:] if text.startswith(" ") else text
 
 
-#: A run of spaces with what follows it, a newline, or what follows a newline. No piece contains a newline.
-UNIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
-
 _models: dict[str, PieceModel] = {}
 
 
@@ -236,8 +252,8 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_file)
         for b in batches:
-            texts = [x.as_py() or "" for x in b.column(1)]
-            arrays = [np.array(model.encode(x), np.int32) for x in texts]
+            filled = pc.fill_null(b.column(1), "")
+            texts, arrays = filled.to_pylist(), model.encode(filled)
             back = [model.decode(a.tolist()) == x for a, x in zip(arrays, texts, strict=True)]
             offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int32)))

@@ -12,19 +12,20 @@ null ids come first; an empty table gives no shard; other columns are never read
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.llm.common import bound_batches, shared_path
+from veilspark.llm.common import bound_batches, ids_by_unit, shared_path
 
 MAGIC = b"PFR1"
 BLOCK = 2048
@@ -32,7 +33,7 @@ PERCENT = 95
 #: A shard ends with the document that brings it to so many ids.
 SHARD_IDS = 1 << 20
 #: Chunks of text whose ids a worker remembers, and the longest chunk worth remembering.
-CACHE_CHUNKS = 150_000
+CACHE_CHUNKS = 400_000
 CACHE_CHARS = 48
 
 
@@ -114,11 +115,19 @@ def _read(payload: bytes, skip: int, total: int, n_parts: int, first: int, count
     return out[first - b0 * BLOCK : first - b0 * BLOCK + count]
 
 
+#: Letters that every Unicode version has as such and as their own composed form.
+_PLAIN = "a-zß-öø-ÿ"
+_WORD = re.compile(f"[{_PLAIN}]+")
+_TAIL = f"([{_PLAIN}])([.,!?;:#$%*&|)]+)([ \\n]|$)"
+
+
 class ChunkEncoder:
     """Encodes whole texts with the tokenizers library, remembering the ids of chunks between spaces and newlines.
 
-    It is for tokenizers that drop white space before any other step, so that the ids of a text are those of its
-    chunks in order.
+    It is for tokenizers that lower-case, drop white space before any other step, and never join letters with
+    punctuation, so that the ids of a text are those of its chunks in order. New chunks of plain letters are encoded
+    together: each is one word, and the last of its ids is one that ends a word. Texts that hold the string of a
+    special token are encoded whole.
     """
 
     def __init__(self, tokenizer_file: str) -> None:
@@ -126,27 +135,53 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.cache: dict[str, list[int]] = {"": []}
-
-    def __call__(self, text: str) -> list[int]:
-        chunks = text.replace("\n", " ").split(" ")
+        self.special = "|".join(re.escape(t.content.lower()) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.cache: dict[str, list[int]] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _learn(self, chunks: list[str]) -> dict[str, list[int]]:
+        found: dict[str, list[int]] = {}
+        plain = [x for x in chunks if _WORD.fullmatch(x)]
+        if plain:
+            ids = self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) == len(plain):
+                start = 0
+                for x, stop in zip(plain, stops, strict=True):
+                    found[x] = ids[start:stop]
+                    start = stop
+        rest = [x for x in chunks if x not in found]
+        for x, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            found[x] = e.ids
+        return found
+
+    def _ids_of(self, chunks: list[str]) -> list[list[int]]:
         cache = self.cache
-        new = [x for x in set(chunks) if x not in cache]
-        long: dict[str, list[int]] = {}
-        if new:
-            for x, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                (cache if len(x) <= CACHE_CHARS else long)[x] = e.ids
-        look = cache.__getitem__ if not long else lambda x: cache[x] if x in cache else long[x]
-        ids = list(chain.from_iterable(map(look, chunks)))
+        found = self._learn([x for x in chunks if x not in cache])
+        out = [found[x] if x in found else cache[x] for x in chunks]
         if len(cache) > CACHE_CHUNKS:
-            self.cache = {"": []}
-        return ids
+            cache.clear()
+        cache.update((x, ids) for x, ids in found.items() if len(x) <= CACHE_CHARS)
+        return out
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of every text of an array without nulls."""
+        low = pc.ascii_lower(texts)
+        whole = np.flatnonzero(pc.match_substring_regex(low, self.special).to_numpy(zero_copy_only=False)) if self.special else ()
+        spaced = pc.replace_substring_regex(pc.replace_substring(low, "\n", " "), _TAIL, r"\1 \2\3")
+        joined, sizes = ids_by_unit(pc.split_pattern(spaced, " "), self._ids_of)
+        out = np.split(joined, np.cumsum(sizes)[:-1]) if len(sizes) else []
+        for i in whole:
+            out[i] = np.array(self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, np.uint32)
+        return out
 
 
 SHARD_SCHEMA = "part long, seq long, start long, n_docs long, n_ids long, doc_ids array<long>, payload binary"
 
 
-def write_shards(docs: DataFrame, path: str, encoder: Callable[[], Callable[[str], list[int]]], end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_shards(docs: DataFrame, path: str, encoder: Callable[[], Callable[[pa.Array], list[np.ndarray]]], end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text, append ``end_id``, write shards in ascending id order.
 
     One range shuffle brings the texts into order; ``start`` of a shard counts the ids before it in its own part only,
@@ -170,10 +205,9 @@ def write_shards(docs: DataFrame, path: str, encoder: Callable[[], Callable[[str
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "start": start, "n_docs": len(ids), "n_ids": held, "doc_ids": names, "payload": payload}], schema)
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                own = encode(text.as_py())
-                own.append(end_id)
-                ids.append(np.array(own, np.uint32))
+            for doc, found in zip(b.column(0).to_pylist(), encode(b.column(1)), strict=True):
+                own = np.append(found, np.uint32(end_id))
+                ids.append(own)
                 names.append(doc)
                 held += len(own)
                 if held >= SHARD_IDS:
