@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import chat, html_main, language, licenses, mixing, pieces, quality, token_io
+from veilspark.llm import chat, html_main, language, licenses, mixing, pieces, quality, simhash, token_io
 from veilspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.predict_documents(docs, language.fit(docs))
@@ -82,7 +86,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_quality": op1_quality, "op3_chat": op3_chat, "op4_mixing": op4_mixing, "op5_licenses": op5_licenses, "op7_language": op7_language, "op8_pieces": op8_pieces, "op9_html": op9_html, "op10_token_ids": op10_token_ids}
+    return {"op1_quality": op1_quality, "op3_chat": op3_chat, "op4_mixing": op4_mixing, "op5_licenses": op5_licenses, "op6_simhash": op6_simhash, "op7_language": op7_language, "op8_pieces": op8_pieces, "op9_html": op9_html, "op10_token_ids": op10_token_ids}
 
 
 def oracle_sql() -> dict[str, str]:
