@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import chat, html_main, language, licenses, mixing, pieces, quality, simhash, token_io
+from veilspark.llm import chat, html_main, language, licenses, mixing, near_duplicates, pieces, quality, simhash, token_io
 from veilspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.class_rows(table(spark, sf_dir, "documents"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -86,7 +90,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_quality": op1_quality, "op3_chat": op3_chat, "op4_mixing": op4_mixing, "op5_licenses": op5_licenses, "op6_simhash": op6_simhash, "op7_language": op7_language, "op8_pieces": op8_pieces, "op9_html": op9_html, "op10_token_ids": op10_token_ids}
+    return {"op1_quality": op1_quality, "op2_jaccard_join": op2_jaccard_join, "op3_chat": op3_chat, "op4_mixing": op4_mixing, "op5_licenses": op5_licenses, "op6_simhash": op6_simhash, "op7_language": op7_language, "op8_pieces": op8_pieces, "op9_html": op9_html, "op10_token_ids": op10_token_ids}
 
 
 def oracle_sql() -> dict[str, str]:
