@@ -1,7 +1,7 @@
 r"""Chat formatting: columnar byte assembly.
 
 A turn is written as ``### Role: text</turn>\n``. Inside roles and texts the control strings are escaped reversibly: a
-backslash is doubled, ``##`` becomes ``#\#``, ``</turn>`` becomes ``<\/turn>`` (in roles also ``:`` becomes ``\:``), so no
+backslash is doubled, ``##`` becomes ``#\#``, ``</turn>`` becomes ``<\/turn>`` (in roles also a colon with a space becomes ``:\ `` with a backslash between), so no
 control string stands inside a text. Segment lengths, cumulative offsets and scatter indices are computed in numpy and
 headers, contents and ends are copied into one preallocated buffer per batch.
 
@@ -61,7 +61,7 @@ def assemble(conv: np.ndarray, roles: pa.Array, texts: pa.Array) -> tuple[pa.Arr
     n = len(conv)
     first = np.flatnonzero(np.r_[True, conv[1:] != conv[:-1]])
     role_names = roles.dictionary_encode()
-    heads = pc.binary_join_element_wise(HEAD, pc.replace_substring(escape(role_names.dictionary), ":", "\\:"), COLON, "").take(role_names.indices)
+    heads = pc.binary_join_element_wise(HEAD, pc.replace_substring(escape(role_names.dictionary), COLON, ":\\ "), COLON, "").take(role_names.indices)
     content = escape(texts)
     segments = [_bytes(heads), _bytes(content), (np.full(n, len(END)), np.frombuffer(END.encode() * n, np.uint8))]
     lengths = np.stack([x[0] for x in segments], axis=1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -27,6 +27,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(names: list[str]) -> list[str]:
+    """Column names that hold any character, as Spark resolves them."""
+    return [f"`{x.replace('`', '``')}`" for x in names]
+
+
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``df.mapInArrow(run)`` with the schema of ``df``, whatever its columns are called."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Limit the Arrow batches of this session by bytes as well as by rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.llm.common import bound_batches
+from veilspark.llm.common import bound_batches, map_rows
 
 #: Documented bound of the training sample, per language.
 PER_LANGUAGE = 500
@@ -211,4 +211,4 @@ def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text") ->
             found = [model.predict(x.as_py()) for x in b.column(at)]
             yield b.filter(pa.array([p != UNKNOWN and s >= model.threshold for p, s in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

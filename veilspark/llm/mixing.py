@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import WORD_PATTERN
+from veilspark.llm.common import WORD_PATTERN, quoted
 
 SEED = "mix-1"
 MAX_EPOCHS = 3.0
@@ -65,7 +65,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
     rows = docs.select(
         F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), n_words(F.col(text_col)).alias("__size"), digest.alias("__digest"),
-        F.struct(*(F.col(c) for c in keep)).alias("__kept") if keep else F.lit(None).alias("__kept"),
+        F.struct(*(F.col(c) for c in quoted(list(keep)))).alias("__kept") if keep else F.lit(None).alias("__kept"),
     ).withColumn("__range", F.substring("__digest", 1, RANGE_DIGITS))
     ranges = rows.groupBy("__source", "__range").agg(F.sum("__size").alias("__words"))
     sums = ranges.groupBy("__source").agg(F.sum("__words").cast("double").alias("source_size"))

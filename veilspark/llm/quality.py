@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from veilspark.llm.common import WORD, bound_batches
+from veilspark.llm.common import WORD, bound_batches, map_rows
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 SEPARATORS = frozenset(("|", "»", "«", "›", "‹", "·", "•", "::", "/", "-", "–", "—", ">", "<"))
@@ -186,4 +186,4 @@ def clean(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_c
                 columns[length_at] = pa.array([len(x) for x in texts], pa.int64()).cast(columns[length_at].type)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
