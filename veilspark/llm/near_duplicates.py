@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import bound_batches, materialized
+from veilspark.llm.common import bound_batches, materialized, quoted
 from veilspark.llm.components import components
 
 SHINGLE = 5
@@ -41,6 +41,8 @@ SKETCH = 128
 MIN_EQUAL_BITS = 101
 #: Members of one block of a bucket; nodes and shingles of one block of a unit.
 BUCKET_BLOCK, UNIT_NODES, UNIT_SHINGLES = 2048, 1024, 1 << 20
+#: Bits of the filter on texts: 65,536 numbers are broadcast at most.
+FILTER_BITS = 1 << 22
 #: Runs of a shingle longer than this are counted by matrix products.
 LONG_RUN = 24
 SEED = 20
@@ -178,22 +180,46 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Tables of whole groups: rows equal in the first ``keys`` columns are consecutive and never cut."""
-    held: list[pa.RecordBatch] = []
+def _groups(batches: Iterator[pa.RecordBatch], keys: int, limit: int | None = None) -> Iterator[tuple[pa.Table, bool]]:
+    """Tables of whole groups, with True: rows equal in the first ``keys`` columns are consecutive and never cut.
+
+    With a ``limit``, a group of more rows is not held: it is given in pieces as it comes, with False.
+    """
+    held, passing = None, None
     for b in batches:
         if not b.num_rows:
             continue
-        table = pa.Table.from_batches([*held, b])
-        last = pa.compute.and_kleene(pc.equal(table[0], table[0][-1]), True)
+        table = pa.Table.from_batches([b])
+        if passing is not None:
+            own = pc.equal(table[0], passing)
+            cut = table.num_rows if pc.all(own).as_py() else pc.index(own, False).as_py()
+            if cut:
+                yield table.slice(0, cut), False
+            table = table.slice(cut)
+            if not table.num_rows:
+                continue
+            passing = None
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        last = pc.equal(table[0], table[0][-1])
         for k in range(1, keys):
             last = pc.and_(last, pc.equal(table[k], table[k][-1]))
         cut = pc.index(last, True).as_py()
-        if cut:
-            yield table.slice(0, cut)
-        held = table.slice(cut).combine_chunks().to_batches()
-    if held:
-        yield pa.Table.from_batches(held)
+        whole, held = table.slice(0, cut), table.slice(cut).combine_chunks()
+        if limit is not None and whole.num_rows:
+            starts = _starts(whole, keys)
+            sizes = np.diff(np.r_[starts, whole.num_rows])
+            for g in np.flatnonzero(sizes > limit):
+                yield whole.slice(int(starts[g]), int(sizes[g])), False
+            if (sizes > limit).any():
+                whole = whole.filter(pa.array(np.repeat(sizes <= limit, sizes)))
+        if whole.num_rows:
+            yield whole, True
+        if limit is not None and held.num_rows > limit:
+            yield held, False
+            held, passing = None, held[0][0]
+    if held is not None:
+        yield held, True
 
 
 def _starts(t: pa.Table, keys: int) -> np.ndarray:
@@ -205,60 +231,80 @@ def _starts(t: pa.Table, keys: int) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _compare(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning edges of the groups of a table: (bucket, low, high, block, node, size, s0, s1), sorted."""
+    starts = _starts(t, 3)
+    sizes = np.diff(np.r_[starts, t.num_rows])
+    low, high, block, node, size = (t.column(k).to_numpy() for k in (1, 2, 3, 4, 5))
+    s = np.stack([t.column(6).to_numpy(), t.column(7).to_numpy()], axis=1).view(np.uint64)
+    group = np.repeat(np.arange(len(starts)), sizes)
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+
+    def alike(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        near = SKETCH - np.bitwise_count(s[i] ^ s[j]).sum(axis=1) >= MIN_EQUAL_BITS
+        fits = DENOMINATOR * np.minimum(size[i], size[j]) >= NUMERATOR * np.maximum(size[i], size[j])
+        return near & fits & ((low[i] == high[i]) | (block[i] != block[j]))
+
+    at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= 8), sizes))
+    for o in range(1, 8):
+        i = at[at + o < t.num_rows]
+        i = i[group[i] == group[i + o]]
+        if not len(i):
+            break
+        i = i[alike(i, i + o)]
+        a.append(node[i])
+        b.append(node[i + o])
+    for g in np.flatnonzero(sizes > 8):
+        m, first = int(sizes[g]), int(starts[g])
+        root = np.arange(m)
+        for k in range(0, m, 64):  # pairs of 64 members with all later ones, turned into trees at once
+            i, j = np.triu_indices(min(64, m - k), 1, m - k)
+            i, j = i + k, j + k
+            near = alike(first + i, first + j)
+            root = _roots(m, np.r_[np.arange(m), i[near]], np.r_[root, j[near]])
+        odd = np.flatnonzero(root != np.arange(m))
+        a.append(node[first + odd])
+        b.append(node[first + root[odd]])
+    return np.concatenate(a), np.concatenate(b)
+
+
 def candidate_links(nodes: DataFrame) -> DataFrame:
-    """Spanning edges ``(a, b)`` of what meets in the forest and may be similar by sketch and size."""
-    met = nodes.select(F.explode("keys").alias("bucket"), "node", "size", "s0", "s1")
-    counts = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET_BLOCK)
-    large = counts.select("bucket", F.ceil(F.col("n") / BUCKET_BLOCK).alias("n_blocks"))
-    dealt = blocked(met, "bucket", large).select("bucket", "low", "high", "block", "node", "size", "s0", "s1")
-    dealt = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "node")
+    """Spanning edges ``(a, b)`` of what meets in the forest and may be similar by sketch and size.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, 3):
-            starts = _starts(t, 3)
-            sizes = np.diff(np.r_[starts, t.num_rows])
-            if sizes.max() < 2:
-                continue
-            low, high, block, node, size = (t.column(k).to_numpy() for k in (1, 2, 3, 4, 5))
-            s = np.stack([t.column(6).to_numpy(), t.column(7).to_numpy()], axis=1).view(np.uint64)
-            group = np.repeat(np.arange(len(starts)), sizes)
-            a, b = [], []
-
-            def alike(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-                near = SKETCH - np.bitwise_count(s[i] ^ s[j]).sum(axis=1) >= MIN_EQUAL_BITS
-                fits = DENOMINATOR * np.minimum(size[i], size[j]) >= NUMERATOR * np.maximum(size[i], size[j])
-                return near & fits & ((low[i] == high[i]) | (block[i] != block[j]))
-
-            small = np.repeat((sizes > 1) & (sizes <= 8), sizes)
-            at = np.flatnonzero(small)
-            for o in range(1, 8):
-                i = at[at + o < t.num_rows]
-                i = i[group[i] == group[i + o]]
-                if not len(i):
-                    break
-                i = i[alike(i, i + o)]
-                a.append(node[i])
-                b.append(node[i + o])
-            for g in np.flatnonzero(sizes > 8):
-                m, first = sizes[g], starts[g]
-                left, right = [], []
-                for r in range(m):
-                    j = np.arange(r + 1, m)
-                    j = j[alike(np.full(len(j), first + r), first + j)]
-                    left.append(np.full(len(j), r))
-                    right.append(j)
-                    if sum(map(len, left[-64:])) > 1 << 20:  # keep memory by turning pairs into trees
-                        root = _roots(m, np.concatenate(left), np.concatenate(right))
-                        odd = np.flatnonzero(root != np.arange(m))
-                        left, right = [odd], [root[odd]]
-                root = _roots(m, np.concatenate(left), np.concatenate(right))
-                odd = np.flatnonzero(root != np.arange(m))
-                a.append(node[first + odd])
-                b.append(node[first + root[odd]])
-            if sum(map(len, a)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    One shuffle brings the members of a bucket together. A bucket of more than ``BUCKET_BLOCK`` members is passed on as
+    it streams by, never held, and compared in a second step by pairs of blocks.
+    """
+    met = nodes.select(F.explode("keys").alias("bucket"), "node", "size", "s0", "s1")
+    names = ["bucket", "low", "high", "block", "node", "size", "s0", "s1"]
+    zero = F.lit(0)
+    dealt = met.select("bucket", zero.alias("low"), zero.alias("high"), zero.alias("block"), "node", "size", "s0", "s1")
+    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "node")
+    limit = BUCKET_BLOCK
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, whole in _groups(batches, 1, limit):
+            if whole:
+                a, b = _compare(t)
+                blank = pa.nulls(len(a), pa.int64())
+                out = [blank, pa.array(a), pa.array(b), blank, blank]
+            else:
+                out = [t.column(k).combine_chunks() for k in (0, 4, 5, 6, 7)]
+            yield pa.RecordBatch.from_arrays(out, ["bucket", "a", "b", "s0", "s1"])
+
+    found = materialized(dealt.mapInArrow(first, "bucket long, a long, b long, s0 long, s1 long"), "buckets")
+    edges = found.where("bucket IS NULL").select("a", "b")
+    rest = found.where("bucket IS NOT NULL").select("bucket", F.col("a").alias("node"), F.col("b").alias("size"), "s0", "s1")
+    if not rest.isEmpty():
+        large = rest.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BUCKET_BLOCK).alias("n_blocks"))
+        pairs = blocked(rest, "bucket", large).select(*names).repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "node")
+
+        def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t, _ in _groups(batches, 3):
+                a, b = _compare(t)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        edges = edges.union(pairs.mapInArrow(second, "a long, b long"))
+    return edges.distinct()
 
 
 def common_counts(joined: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -300,7 +346,12 @@ def verified_links(docs: DataFrame, units: DataFrame, id_col: str, text_col: str
     large = totals.select("unit", blocks.alias("n_blocks")).where("n_blocks > 1")
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(text).alias("__hash"), text.alias("text"))
-    found = texts.join(units, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__hash") == F.col("text_hash"))).select("unit", "node", "text")
+    # A filter of FILTER_BITS bits, of fixed size, keeps most other texts out of the join's shuffle.
+    bit = F.pmod("text_hash", F.lit(FILTER_BITS))
+    words = units.select(F.floor(bit / 64).alias("word"), (bit % 64).cast("int").alias("b")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits"))
+    at = F.pmod("__hash", F.lit(FILTER_BITS))
+    maybe = texts.withColumn("word", F.floor(at / 64)).join(F.broadcast(words), "word").where(F.expr(f"(shiftrightunsigned(bits, CAST(pmod(__hash, {FILTER_BITS}) % 64 AS INT)) & 1L) = 1L"))
+    found = maybe.join(units, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__hash") == F.col("text_hash"))).select("unit", "node", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -312,7 +363,7 @@ def verified_links(docs: DataFrame, units: DataFrame, id_col: str, text_col: str
     dealt = dealt.select("unit", "low", "high", "block", "node", "shingles").repartition("unit", "low", "high").sortWithinPartitions("unit", "low", "high", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, 3):
+        for t, _ in _groups(batches, 3):
             starts = _starts(t, 3)
             low, high, block, node = (t.column(k).to_numpy() for k in (1, 2, 3, 4))
             lists = t.column(5).combine_chunks()
@@ -352,11 +403,12 @@ class Classes:
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Classes:
     """The join: classes of linked documents, links of each to other texts, and its copies."""
     described = materialized(describe(docs, id_col, text_col), "sets")
-    sets = described.where("size > 0").groupBy("d0", "d1").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"))
-    sets = materialized(sets, "nodes")
-    nodes = described.join(sets.select("node"), F.col("row") == F.col("node")).select("node", "doc_id", "text_hash", "size", "keys", "s0", "s1")
+    first = F.min(F.struct("row", "doc_id", "text_hash", "size", "keys", "s0", "s1"))
+    nodes = described.where("size > 0").groupBy("d0", "d1").agg(first.alias("n"), F.count(F.lit(1)).alias("copies"))
+    nodes = materialized(nodes.select("d0", "d1", "copies", F.col("n.row").alias("node"), "n.doc_id", "n.text_hash", "n.size", "n.keys", "n.s0", "n.s1"), "nodes")
+    sets = nodes.select("d0", "d1", "node", "copies")
     units = components(candidate_links(nodes)).select("node", F.col("root").alias("unit"))
-    members = described.select(F.col("row").alias("node"), "doc_id", "text_hash", "size").join(units, "node")
+    members = nodes.select("node", "doc_id", "text_hash", "size").join(units, "node")
     links = materialized(verified_links(docs, materialized(members, "units"), id_col, text_col), "links")
     roots = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     degrees = links.groupBy("node").agg(F.sum("links").alias("links"))
@@ -385,4 +437,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     marked = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     kept = marked.join(stay, F.col(id_col).eqNullSafe(F.col("__keep_id")) & (F.col("__hash") == F.col("__keep_hash")), "left_semi")
     first = F.row_number().over(W.partitionBy(F.col(id_col), "__hash").orderBy(F.lit(0)))
-    return kept.withColumn("__nth", first).where("__nth = 1").select(*docs.columns)
+    return kept.withColumn("__nth", first).where("__nth = 1").select(*quoted(docs.columns))
