@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql.functions import arrow_udf
 
 from veilspark.functions.dialect import to_re2
-from veilspark.functions.model import merge_spans, find_spans, redact_line, replace_spans
+from veilspark.functions.model import find_spans, redact_line
 from veilspark.operators.cascade import Cascade
 from veilspark.operators.rules import RuleSet
 
@@ -25,6 +25,8 @@ MODES = ("complete", "cascade")
 ON_ERROR = ("raise", "null", "mask_all")
 LONG_LINES = ("process", "null", "error")
 MASK = "[REDACTED]"
+#: Literals beyond which the rows that have any are searched by an automaton.
+MANY_LITERALS = 24
 
 FINDING = "struct<rule_id:int,name:string,line_no:int,start:int,end:int,match:string>"
 RESULT = f"struct<redacted:string,modified:boolean,n_spans:int,n_hits:int,findings:array<{FINDING}>>"
@@ -48,54 +50,91 @@ class Policy:
 
 
 class Screen:
-    """Which rows of a batch each rule may match."""
+    """Which rows of a batch each rule may match.
 
-    #: Rules whose literal is shorter are screened by their regex.
-    TELLING = 2
+    Rules are screened by their literal where it is telling, else by their regex. Each of the two kinds begins with one
+    pass of an alternation over all rows; only rows that pass are looked at rule by rule.
+    """
+
+    #: Single characters rare enough in text to screen by.
+    TELLING = frozenset("@;%#|~^")
 
     def __init__(self, rules: RuleSet) -> None:
         self.literals: dict[str, list[int]] = {}
         self.regexes: list[tuple[str, int]] = []
         self.always: list[int] = []
         for i, r in enumerate(rules):
-            if len(r.literal) >= self.TELLING:
+            if len(r.literal) > 1 or r.literal in self.TELLING:
                 self.literals.setdefault(r.literal, []).append(i)
+            elif _runs(to_re2(r.regex)):
+                self.regexes.append((to_re2(r.regex), i))
             else:
-                try:
-                    pc.match_substring_regex(pa.array([""]), to_re2(r.regex))
-                    self.regexes.append((to_re2(r.regex), i))
-                except pa.ArrowInvalid:
-                    self.always.append(i)
-        self.any = None
-        if len(self.literals) > 16:
-            self.any = "|".join(re.escape(x) for x in self.literals)
+                self.always.append(i)
+        self.any_literal = "|".join(re.escape(x) for x in self.literals)
+        self.any_regex = "|".join(f"(?:{x})" for x, _ in self.regexes)
+        if not _runs(self.any_regex):  # too large together
+            self.any_regex = ""
+        self.automaton = _automaton(self.literals) if len(self.literals) > MANY_LITERALS else None
+
+    @staticmethod
+    def _where(texts: pa.Array, pattern: str, literal: bool = False) -> np.ndarray:
+        match = pc.match_substring if literal else pc.match_substring_regex
+        return np.flatnonzero(pc.fill_null(match(texts, pattern), False).to_numpy(zero_copy_only=False))
+
+    def _each(self, texts: pa.Array, first: str, tests: list[tuple[str, list[int], bool]], found: dict[int, list[int]]) -> None:
+        rows = self._where(texts, first) if first else np.arange(len(texts))
+        if not len(rows):
+            return
+        own = texts if len(rows) == len(texts) else texts.take(pa.array(rows))
+        for pattern, ids, literal in tests:
+            for k in rows[self._where(own, pattern, literal)].tolist():
+                found.setdefault(k, []).extend(ids)
 
     def __call__(self, texts: pa.Array) -> dict[int, list[int]]:
         """Rows that may match, with their rules in order."""
         found: dict[int, list[int]] = {}
-        rows, sub = None, texts
-        if self.any:  # many literals: one pass finds the rows that have any of them
-            rows = np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, self.any), False).to_numpy(zero_copy_only=False))
-            sub = texts.take(pa.array(rows))
-        for literal, ids in self.literals.items():
-            if len(sub):
-                for k in np.flatnonzero(pc.fill_null(pc.match_substring(sub, literal), False).to_numpy(zero_copy_only=False)).tolist():
-                    found.setdefault(k if rows is None else int(rows[k]), []).extend(ids)
-        for regex, i in self.regexes:
-            for k in np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, regex), False).to_numpy(zero_copy_only=False)).tolist():
-                found.setdefault(k, []).append(i)
+        if self.automaton is not None:
+            rows = self._where(texts, self.any_literal)
+            for k, text in zip(rows.tolist(), texts.take(pa.array(rows)).to_pylist(), strict=True):
+                found[k] = [i for ids in {x for _, x in self.automaton.iter(text)} for i in ids]
+        elif self.literals:
+            self._each(texts, self.any_literal, [(x, ids, True) for x, ids in self.literals.items()], found)
+        if self.regexes:
+            self._each(texts, self.any_regex, [(x, [i], False) for x, i in self.regexes], found)
         if self.always:
             for k in range(len(texts)):
                 found.setdefault(k, []).extend(self.always)
         return {k: sorted(v) for k, v in found.items()}
 
 
+def _automaton(literals: dict[str, list[int]]):  # noqa: ANN202
+    """All literals at once, if the library is there."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return None
+    out = ahocorasick.Automaton()
+    for x, ids in literals.items():
+        out.add_word(x, tuple(ids))
+    out.make_automaton()
+    return out
+
+
+def _runs(regex: str) -> bool:
+    try:
+        pc.match_substring_regex(pa.array([""]), regex)
+    except pa.ArrowInvalid:
+        return False
+    return True
+
+
 class Compiled:
     """A rule set with its screen, cascade and policy, ready for batches."""
 
     def __init__(self, rules: RuleSet, policy: Policy, per_line: bool) -> None:
         self.rules, self.policy, self.per_line = rules, policy, per_line
         self.tags = [r.tag for r in rules]
+        self.finders = [(r.literal, r.pattern.finditer) for r in rules]
         self.screen = Screen(rules)
         self.cascade = Cascade(rules) if policy.mode == "cascade" else None
 
@@ -131,11 +170,32 @@ class Compiled:
         if self.cascade or self.policy.on_error != "raise" or self.policy.max_line_bytes is not None:
             r = self.result(text, active)
             return None if r is None else r["redacted"]
-        out = []
-        for line in self.lines(text):
-            spans = find_spans(self.rules, line, active)
-            out.append(replace_spans(line, merge_spans(spans), self.tags) if spans else line)
-        return "\n".join(out)
+        if not self.per_line or "\n" not in text:
+            return self._line(text, active)
+        return "\n".join([self._line(x, active) for x in text.split("\n")])
+
+    def _line(self, line: str, active: list[int]) -> str:
+        spans = []
+        for i in active:
+            literal, find = self.finders[i]
+            if literal in line:
+                for m in find(line):
+                    start, end = m.span()
+                    if end > start:
+                        spans.append((start, -end, i))
+        if not spans:
+            return line
+        spans.sort()
+        parts, at, stop, tags = [], 0, 0, self.tags
+        for start, end, i in spans:
+            if start < stop:
+                stop = max(stop, -end)
+                continue
+            if stop > at:
+                at = stop
+            parts += (line[at:start], tags[i])
+            at, stop = start, -end
+        return "".join((*parts, line[stop:]))
 
     def rows(self, texts: pa.Array) -> dict[int, list[int]]:
         everything = self.cascade is not None or self.policy.max_line_bytes is not None
@@ -143,17 +203,15 @@ class Compiled:
         return {k: found.get(k, []) for k in range(len(texts))} if everything else found
 
     def redact(self, texts: pa.Array) -> pa.Array:
-        changed = {}
-        for k, active in self.rows(texts).items():
-            text = texts[k].as_py()
-            if text is not None:
-                changed[k] = self.redacted(text, active)
-        if not changed:
+        found = self.rows(texts)
+        rows = sorted(found)
+        if not rows:
             return texts
-        where = pa.array(list(changed), pa.int64())
         mask = np.zeros(len(texts), bool)
-        mask[where.to_numpy()] = True
-        return pc.replace_with_mask(texts, pa.array(mask), pa.array([changed[k] for k in np.flatnonzero(mask).tolist()], texts.type))
+        mask[rows] = True
+        old = texts.filter(pa.array(mask)).to_pylist()
+        new = [None if x is None else self.redacted(x, found[k]) for k, x in zip(rows, old, strict=True)]
+        return pc.replace_with_mask(texts, pa.array(mask), pa.array(new, texts.type))
 
     def results(self, texts: pa.Array) -> pa.Array:
         found = self.rows(texts)

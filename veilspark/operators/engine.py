@@ -180,6 +180,23 @@ class Redactor:
             t.elapsed_seconds += time.monotonic() - began
         return [None if r is None else r["redacted"] for r in results]
 
+    def redact_lines(self, lines: list[str]) -> list[str]:
+        """Many lines at once, in order."""
+        return self.redact_values(lines)
+
+    def redact_buffer(self, text: str) -> str:
+        """Newline-divided text; a newline at its end stays."""
+        return self.redact_value(text) or ""
+
+    @staticmethod
+    def version() -> str:
+        return VERSION
+
+    @staticmethod
+    def is_threadsafe() -> bool:
+        """Rules are immutable and counters are locked."""
+        return True
+
     def reset_stats(self) -> None:
         with self._lock:
             self.totals = Stats()
