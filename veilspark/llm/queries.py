@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import chat, html_main, language, licenses, mixing, near_duplicates, pieces, quality, simhash, token_io
+from veilspark.llm import chat, html_main, language, licenses, mixing, near_duplicates, oracles, pieces, quality, simhash, token_io
 from veilspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,4 +94,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL}
+    return {"op1_quality": oracles.OP1_SQL, "op2_jaccard_join": oracles.OP2_SQL, "op3_chat": oracles.OP3_SQL, "op4_mixing": OP4_SQL}
