@@ -63,3 +63,9 @@ def test_no_words(spark):
 def test_reruns_agree(spark, messy):
     one = sorted(map(str, mixing.plan_mix(messy).collect()))
     assert one == sorted(map(str, mixing.plan_mix(messy.repartition(7)).collect()))
+
+
+def test_many_sources_meet_by_salted_keys(spark, messy, monkeypatch):
+    few = sorted(map(str, mixing.plan_mix(messy).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    assert few == sorted(map(str, mixing.plan_mix(messy).collect()))

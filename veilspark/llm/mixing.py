@@ -22,13 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import WORD_PATTERN, quoted
+from veilspark.llm.common import WORD_PATTERN, materialized, quoted
 
 SEED = "mix-1"
 MAX_EPOCHS = 3.0
 WEIGHTS = (1.0, 2.0, 3.0)
 #: Digest ranges of a source: the first four hex digits.
 RANGE_DIGITS = 4
+#: Sources up to which their targets are broadcast, and the parts into which rows of a source are dealt beyond.
+BROADCAST_SOURCES, SALTS = 20_000, 64
 
 
 def n_words(text: str | Column) -> Column:
@@ -67,7 +69,8 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
         F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), n_words(F.col(text_col)).alias("__size"), digest.alias("__digest"),
         F.struct(*(F.col(c) for c in quoted(list(keep)))).alias("__kept") if keep else F.lit(None).alias("__kept"),
     ).withColumn("__range", F.substring("__digest", 1, RANGE_DIGITS))
-    ranges = rows.groupBy("__source", "__range").agg(F.sum("__size").alias("__words"))
+    # At most 65,536 rows per source, summed before the shuffle and written once: all that follows but the last pass reads them.
+    ranges = materialized(rows.groupBy("__source", "__range").agg(F.sum("__size").alias("__words")), "ranges")
     sums = ranges.groupBy("__source").agg(F.sum("__words").cast("double").alias("source_size"))
     filled = water_fill(weigh(sums.withColumnRenamed("__source", "source"), weights), max_epochs)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -85,8 +88,8 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
         .agg(F.min(F.struct("__range", (F.col("__upto") - F.col("__words")).alias("before"))).alias("__cut"))
         .select(F.col("__s").alias("__c"), F.col("__cut.__range").alias("__at"), F.col("__cut.before").alias("__before"))
     )
-    targets = targets.join(cuts, F.col("__s").eqNullSafe(F.col("__c")), "left").drop("__c")
-    joined = rows.join(targets, F.col("__source").eqNullSafe(F.col("__s")))
+    targets = materialized(targets.join(cuts, F.col("__s").eqNullSafe(F.col("__c")), "left").drop("__c"), "targets")
+    joined = _with_targets(rows, targets)
     at = F.col("__at")
     inside = at.isNotNull() & (F.col("__range") == at)
     outer = joined.where(~inside).withColumn("__more", F.when(at.isNull() | (F.col("__range") < at), 1).otherwise(0))
@@ -100,6 +103,15 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     )
 
 
+def _with_targets(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """``rows`` with the target of their source. Few sources are broadcast, after a count; many are met by salted keys."""
+    if targets.count() <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(targets), F.col("__source").eqNullSafe(F.col("__s"))).drop("__s")
+    salted = targets.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("__salted", F.pmod(F.xxhash64("__digest"), F.lit(SALTS)))
+    return dealt.join(salted, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__salted") == F.col("__salt"))).drop("__s", "__salt", "__salted")
+
+
 def mix(docs: DataFrame, **options: object) -> DataFrame:
     """The mixed documents: every row repeated as planned, with the columns of ``docs``."""
     planned = plan_mix(docs, keep=tuple(docs.columns), **options)
