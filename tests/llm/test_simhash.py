@@ -28,6 +28,9 @@ def check(got, rows):
         assert r.near_edited == pytest.approx(1 - bin(int(r.fingerprint, 16) ^ int(r.edited_fingerprint, 16)).count("1") / 128)
         assert 0 <= r.near_next <= 1
     assert all(len(v) == 1 for v in by_text.values())
+    for r in got:
+        near = sum(bin(int(r.fingerprint, 16) ^ int(x.fingerprint, 16)).count("1") <= simhash.RADIUS for x in got) - 1
+        assert r.near_docs == (near if r.doc_id is not None and r.doc_id % simhash.ASKED == 0 else None)
 
 
 def test_messy(spark, messy, none, monkeypatch):
@@ -51,12 +54,18 @@ def test_many_ranges(spark, monkeypatch):
         assert x.near_next == pytest.approx(1 - bin(int(x.fingerprint, 16) ^ int(prints[after], 16)).count("1") / 128)
 
 
+def test_extreme_ids(spark):
+    rows = [row(i, f"text number {i}") for i in (-(2**63), 2**63 - 1, 0)]
+    check(simhash.fingerprint_edits(spark.createDataFrame(rows, DOC)).collect(), rows)
+
+
 def test_one_document(spark):
     got = simhash.fingerprint_edits(spark.createDataFrame([row(5, "abcdefgh")], DOC)).first()
     assert got.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and got.near_next == 1
 
 
-def test_block_tables_find_all(spark):
+@pytest.mark.parametrize("radius", [6, 3, 9])
+def test_block_tables_find_all(spark, radius):
     r = random.Random(4)
     seeds = [r.getrandbits(128) for _ in range(6)]
     values = list({s ^ sum(1 << b for b in r.sample(range(128), r.randint(0, 9))) for s in seeds for _ in range(12)} | set(seeds))
@@ -64,6 +73,6 @@ def test_block_tables_find_all(spark):
     df = spark.createDataFrame([(signed(v >> 64), signed(v & (2**64 - 1))) for v in values], "__fp0 long, __fp1 long")
     queries = df.limit(20)
     asked = {((r[0] % 2**64) << 64) | (r[1] % 2**64) for r in queries.collect()}
-    got = {(((x.q0 % 2**64) << 64) | (x.q1 % 2**64), ((x.f0 % 2**64) << 64) | (x.f1 % 2**64)): x.distance for x in simhash.near(queries, df).collect()}
-    expected = {(a, b): bin(a ^ b).count("1") for a in asked for b in values if bin(a ^ b).count("1") <= simhash.RADIUS}
+    got = {(((x.q0 % 2**64) << 64) | (x.q1 % 2**64), ((x.f0 % 2**64) << 64) | (x.f1 % 2**64)): x.distance for x in simhash.near(queries, df, radius).collect()}
+    expected = {(a, b): bin(a ^ b).count("1") for a in asked for b in values if bin(a ^ b).count("1") <= radius}
     assert got == expected

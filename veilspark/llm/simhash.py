@@ -32,8 +32,8 @@ WORD_WEIGHT, PAIR_WEIGHT = 1, 3
 #: Rows of one range of ids, and the most ranges; what is broadcast has one row of two numbers per range.
 RANGE_ROWS, MOST_RANGES = 1000, 100_000
 LANES = 0x0000000100000001
-#: Hamming radius of the search: of 128 bits.
-RADIUS = 6
+#: Hamming radius of the search, of 128 bits, and the ids whose documents are its queries: the multiples of this.
+RADIUS, ASKED = 6, 20
 
 
 def simhash(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
@@ -85,7 +85,7 @@ def with_next(rows: DataFrame, id_col: str, order: list[str], columns: list[str]
     takes the first of the next range that has any. Ids crowded into few ranges cost time, not correctness.
     """
     low, high, n = rows.agg(F.min(id_col), F.max(id_col), F.count(F.lit(1))).first()
-    width = 1 if low is None else max(1, (int(high) - int(low) + 1) // max(1, n // max(RANGE_ROWS, n // MOST_RANGES)))
+    width = 1 if low is None else min(2**63 - 1, max(1, (int(high) - int(low) + 1) // max(1, n // max(RANGE_ROWS, n // MOST_RANGES))))
     # Integer division rounds towards zero, which keeps the order; a null id has a range below all others.
     place = F.coalesce(F.expr(f"`{id_col}` div {width}L"), F.lit(-(2**63)))
     dealt = rows.withColumn("__range", place)
@@ -111,7 +111,8 @@ def with_next(rows: DataFrame, id_col: str, order: list[str], columns: list[str]
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: fingerprints of its text and of its edited text, and how alike they and the next document's are.
 
-    The edited text replaces the last quarter of the code points by as many of the next document's first ones.
+    ``near_docs`` is for every ``ASKED``-th id the number of other documents, all of them searched by the block tables,
+    whose fingerprint is within ``RADIUS`` bits; null for other documents. The edited text replaces the last quarter of the code points by as many of the next document's first ones.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     led = with_next(rows, "doc_id", ["__text"], ["__text"], "__next")
@@ -133,19 +134,36 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # Equal ids are in the order of their texts only up to their fingerprints here; the row number keeps that order.
     followed = with_next(pairs, "doc_id", ["__row"], numbers, "__next")
     followed = followed.select("*", *(F.col(f"__next__own{k}").alias(f"__following{k}") for k in range(WORDS_OF_64)))
+    found = near_counts(pairs, numbers, F.col("doc_id") % ASKED == 0)
+    followed = followed.join(found, numbers, "left").withColumn("near_docs", F.when(F.col("doc_id") % ASKED == 0, F.col("near_docs")))
     return followed.select(
         "doc_id", "n_chars", F.col("__sha").alias("edited_sha256"), as_text("__own").alias("fingerprint"), as_text("__edit").alias("edited_fingerprint"),
-        likeness("__own", "__edit").alias("near_edited"), likeness("__own", "__following").alias("near_next"),
+        likeness("__own", "__edit").alias("near_edited"), likeness("__own", "__following").alias("near_next"), "near_docs",
     )
 
 
-def block_tables(prints: DataFrame, name: str = "__fp", radius: int = RADIUS) -> DataFrame:
-    """``prints`` repeated for every table: ``__table`` and ``__key`` (the bits of its two blocks)."""
-    n = radius + 2
+def _pieces(block: int, n: int) -> list[tuple[int, int, int]]:
+    """The parts of one of ``n`` blocks as (number, shift, mask): a block may lie across two numbers."""
     size = -(-BITS // n)
-    digits = F.concat(*(F.lpad(F.bin(f"{name}{k}"), 64, "0") for k in range(WORDS_OF_64)))
-    entries = [F.struct(F.lit(t).alias("__table"), F.concat(F.substring("__bits", 1 + a * size, size), F.substring("__bits", 1 + b * size, size)).alias("__key")) for t, (a, b) in enumerate(combinations(range(n), 2))]
-    return prints.withColumn("__bits", digits).select(*prints.columns, "__bits", F.inline(F.array(*entries)).alias("__table", "__key"))
+    low, high, out = block * size, min(BITS, (block + 1) * size), []
+    for k in range(WORDS_OF_64):
+        a, b = max(low, 64 * k), min(high, 64 * (k + 1))
+        if a < b:
+            out.append((k, 64 * (k + 1) - b, (1 << (b - a)) - 1))
+    return out
+
+
+def _block(numbers: list[Column], block: int, n: int) -> list[Column]:
+    return [F.shiftrightunsigned(numbers[k], shift).bitwiseAND(F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask)) for k, shift, mask in _pieces(block, n)]
+
+
+def block_tables(prints: DataFrame, names: list[str], radius: int = RADIUS) -> DataFrame:
+    """``prints`` repeated for every table: ``__table``, and ``__key``, a hash of the table and the bits of its two blocks."""
+    n, numbers = radius + 2, [F.col(x) for x in names]
+    entries = [
+        F.struct(F.lit(t).alias("__table"), F.xxhash64(F.lit(t), *_block(numbers, a, n), *_block(numbers, b, n)).alias("__key")) for t, (a, b) in enumerate(combinations(range(n), 2))
+    ]
+    return prints.select("*", F.inline(F.array(*entries)).alias("__table", "__key"))
 
 
 def near(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -155,14 +173,24 @@ def near(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFra
     Returns ``q0, q1, f0, f1, distance``; fingerprints equal to the query are included with distance 0.
     """
     n = radius + 2
-    size = -(-BITS // n)
-    q = block_tables(queries.select("__fp0", "__fp1").distinct(), radius=radius).select(F.col("__fp0").alias("q0"), F.col("__fp1").alias("q1"), F.col("__bits").alias("__qb"), "__table", "__key")
-    f = block_tables(prints.select("__fp0", "__fp1").distinct(), radius=radius).select(F.col("__fp0").alias("f0"), F.col("__fp1").alias("f1"), F.col("__bits").alias("__fb"), "__table", "__key")
-    distance = sum((F.bit_count(F.col(f"q{k}").bitwiseXOR(F.col(f"f{k}"))) for k in range(WORDS_OF_64)), F.lit(0))
+    q = block_tables(queries.select(F.col("__fp0").alias("q0"), F.col("__fp1").alias("q1")).distinct(), ["q0", "q1"], radius).withColumnRenamed("__table", "__qt")
+    f = block_tables(prints.select(F.col("__fp0").alias("f0"), F.col("__fp1").alias("f1")).distinct(), ["f0", "f1"], radius)
+    odd = [F.col(f"q{k}").bitwiseXOR(F.col(f"f{k}")) for k in range(WORDS_OF_64)]
+    distance = sum((F.bit_count(x) for x in odd), F.lit(0))
+    same = [reduce(lambda a, b: a & b, (x == 0 for x in _block(odd, k, n))) for k in range(n)]
     # The first table of a pair is that of its first two equal blocks.
-    first = F.lit(len(list(combinations(range(n), 2))))
-    for t, (a, b) in reversed(list(enumerate(combinations(range(n), 2)))):
-        same = [F.substring("__qb", 1 + x * size, size) == F.substring("__fb", 1 + x * size, size) for x in (a, b)]
-        first = F.when(same[0] & same[1], F.lit(t)).otherwise(first)
-    met = q.join(f, (q["__table"] == f["__table"]) & (q["__key"] == f["__key"]) & (distance <= radius) & (first == q["__table"]))
+    tables = list(combinations(range(n), 2))
+    first = F.lit(len(tables))
+    for t in reversed(range(len(tables))):
+        first = F.when(same[tables[t][0]] & same[tables[t][1]], F.lit(t)).otherwise(first)
+    met = q.join(f, (q["__key"] == f["__key"]) & (F.col("__qt") == F.col("__table")) & (distance <= radius) & (first == F.col("__table")))
     return met.select("q0", "q1", "f0", "f1", distance.cast("int").alias("distance"))
+
+
+def near_counts(rows: DataFrame, names: list[str], asked: Column, radius: int = RADIUS) -> DataFrame:
+    """Columns ``names`` (distinct) and ``near_docs``: for the rows that are ``asked``, other rows within the radius."""
+    counted = rows.groupBy(*(F.col(x).alias(f"f{k}") for k, x in enumerate(names))).agg(F.count(F.lit(1)).alias("__n"))
+    as_print = [F.col(x).alias(f"__fp{k}") for k, x in enumerate(names)]
+    met = near(rows.where(asked).select(*as_print), counted.select(F.col("f0").alias("__fp0"), F.col("f1").alias("__fp1")), radius)
+    sums = met.join(counted, ["f0", "f1"]).groupBy("q0", "q1").agg((F.sum("__n") - 1).alias("near_docs"))
+    return sums.select(*(F.col(f"q{k}").alias(x) for k, x in enumerate(names)), "near_docs")
