@@ -20,7 +20,7 @@ HEADLINE = [
     "findings_cube", "json_requests", "redact_large_catalog", "findings_vs_labels", "redact_generated_arrow",
 ]
 #: Lines of the throughput runs, one in ten with a secret; each line has about 90 bytes.
-MANY = 5_000_000
+MANY = int(os.environ.get("BENCH_LINES", "5000000"))
 
 
 def log_lines(spark: SparkSession, n: int, secret_every: int):
