@@ -53,7 +53,7 @@ def test_stream_is_batch_and_resumes(spark, tmp_path):
     Path(source, "1.txt").write_text("a@b.cc\nclean\n")
     redact_stream(Redactor(spark), source, target, mark).awaitTermination()
     Path(source, "2.txt").write_text("10.0.0.1\n")
-    redact_stream(Redactor(spark), source, target, mark).awaitTermination()
+    Redactor(spark).stream(source, target, mark).awaitTermination()
     got = sorted(x.value for x in spark.read.text(target).collect())
     assert got == ["[REDACTED:email]", "[REDACTED:ipv4]", "clean"]
 

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from veilspark.operators import arrow, native
 from veilspark.operators.arrow import Policy, compiled
@@ -156,6 +157,12 @@ class Redactor:
         )
         return watched.withColumn(text, F.col("__r.redacted")).drop("__r"), seen
 
+    def stream(self, source: str, target: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+        """Lines of files that arrive below ``source``, redacted to text files below ``target``."""
+        from veilspark.streaming.streams import redact_stream
+
+        return redact_stream(self, source, target, checkpoint, available_now)
+
     # Values on the driver.
 
     def redact_value(self, text: str | None) -> str | None:
