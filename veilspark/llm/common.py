@@ -70,7 +70,7 @@ def materialized(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ids_by_unit(lists: pa.ListArray, ids_of: Callable[[list[str]], list[list[int]]], kind: type = np.uint32) -> tuple[np.ndarray, np.ndarray]:
+def ids_by_unit(lists: pa.ListArray, ids_of: Callable[[list[str]], list[tuple[int, ...]]], kind: type = np.uint32) -> tuple[np.ndarray, np.ndarray]:
     """Ids of texts given as lists of units, joined, and the number of ids of each text.
 
     Distinct units are found in Arrow; only they become Python strings, and ``ids_of`` sees each once.

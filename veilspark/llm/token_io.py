@@ -16,6 +16,7 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain, compress, count
 
 import numpy as np
 import pyarrow as pa
@@ -135,41 +136,55 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.special = "|".join(re.escape(t.content.lower()) for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.cache: dict[str, list[int]] = {}
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cache: dict[str, tuple[int, ...]] = {}
+        # Words of plain letters need no normalizing, and white space alone divides them; kept only if a sample agrees.
+        from tokenizers import normalizers, pre_tokenizers
+
+        self.plain = Tokenizer.from_file(tokenizer_file)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        sample = "the of house straße élève año under international zzqx ll s t re ve m d ß ÿ " + " ".join(map(chr, range(97, 123)))
+        if self.plain.encode(sample, add_special_tokens=False).ids != self.tokenizer.encode(sample, add_special_tokens=False).ids:
+            self.plain = self.tokenizer
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def _learn(self, chunks: list[str]) -> dict[str, list[int]]:
-        found: dict[str, list[int]] = {}
-        plain = [x for x in chunks if _WORD.fullmatch(x)]
-        if plain:
-            ids = self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(stops) == len(plain):
-                start = 0
-                for x, stop in zip(plain, stops, strict=True):
-                    found[x] = ids[start:stop]
-                    start = stop
-        rest = [x for x in chunks if x not in found]
-        for x, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            found[x] = e.ids
-        return found
-
-    def _ids_of(self, chunks: list[str]) -> list[list[int]]:
+    def _learn(self, chunks: list[str]) -> list[tuple[int, ...]]:
+        """Ids of new chunks, in order."""
+        plain = list(map(bool, map(_WORD.fullmatch, chunks)))
+        words = list(compress(chunks, plain))
+        out: list[tuple[int, ...] | None] = [None] * len(chunks)
+        if words:
+            ids = self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+            stops = (np.flatnonzero(self.ends[np.array(ids, np.int64)]) + 1).tolist()
+            if len(stops) == len(words):
+                cut = [tuple(ids[a:b]) for a, b in zip(chain((0,), stops), stops, strict=False)]
+                for i, own in zip(compress(count(), plain), cut, strict=False):
+                    out[i] = own
+        rest = [i for i, own in enumerate(out) if own is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = tuple(e.ids)
+        return out
+
+    def _ids_of(self, chunks: list[str]) -> list[tuple[int, ...]]:
         cache = self.cache
-        found = self._learn([x for x in chunks if x not in cache])
-        out = [found[x] if x in found else cache[x] for x in chunks]
-        if len(cache) > CACHE_CHUNKS:
+        out = list(map(cache.get, chunks))
+        new = [i for i, own in enumerate(out) if own is None]
+        if len(cache) + len(new) > CACHE_CHUNKS:
             cache.clear()
-        cache.update((x, ids) for x, ids in found.items() if len(x) <= CACHE_CHARS)
+        for i, own in zip(new, self._learn([chunks[i] for i in new]), strict=True):
+            out[i] = own
+            if len(chunks[i]) <= CACHE_CHARS:
+                cache[chunks[i]] = own
         return out
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of every text of an array without nulls."""
         low = pc.ascii_lower(texts)
-        whole = np.flatnonzero(pc.match_substring_regex(low, self.special).to_numpy(zero_copy_only=False)) if self.special else ()
+        holds = [pc.match_substring(low, x).to_numpy(zero_copy_only=False) for x in self.special]
+        whole = np.flatnonzero(np.logical_or.reduce(holds)) if holds else ()
         spaced = pc.replace_substring_regex(pc.replace_substring(low, "\n", " "), _TAIL, r"\1 \2\3")
         joined, sizes = ids_by_unit(pc.split_pattern(spaced, " "), self._ids_of)
         out = np.split(joined, np.cumsum(sizes)[:-1]) if len(sizes) else []
