@@ -34,9 +34,9 @@ LETTERS = "".join(c for c in map(chr, range(65, 592)) if c.isalpha())
 #: A run of spaces with what follows it, a newline, or what follows a newline. No piece contains a newline.
 UNIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
 #: What is remembered: units of at most so many characters, and so many of them.
-CACHE_CHARS, CACHE_UNITS = 48, 400_000
-#: Remembered verdicts on pairs of pieces.
-PAIRS = 200_000
+CACHE_CHARS, CACHE_UNITS = 48, 250_000
+#: Remembered verdicts on pairs of pieces, and lattices of prefixes of each ``PREFIX``-th length.
+PAIRS, PREFIX, PREFIXES = 300_000, 4, 100_000
 #: Positions between two attempts to commit.
 COMMIT_EVERY = 64
 
@@ -65,9 +65,11 @@ class PieceModel:
             if p.is_control(i):
                 self.bytes[i] = b""
         self.names = names
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.lengths = list(map(len, names))
+        self.pairs: dict[int, bool] = {}
+        self.prefixes: dict[str, tuple[int, ...]] = {}
         self.split: dict[str, tuple[str, str]] = {}
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, tuple[int, ...]] = {}
         self.alphabet = set("".join(self.normal))
         inner = {x[i : i + 2] for x in self.normal for i in range(len(x) - 1)}
         #: Marks that no piece has behind a Latin letter: the lattice always meets between the two.
@@ -119,14 +121,9 @@ class PieceModel:
 
     def follows(self, left: str | None, piece: str) -> bool:
         """Whether ``piece`` may stand after ``left`` (None: at the start of a unit)."""
-        key = (left, piece)
-        ok = self.pairs.get(key)
-        if ok is None:
-            if len(self.pairs) > PAIRS:
-                self.pairs.clear()
-            ok = len(piece) == 1 or self.merged(piece) == [piece] if left is None else self.compatible(left, piece)
-            self.pairs[key] = ok
-        return ok
+        if left is None:
+            return len(piece) == 1 or self.merged(piece) == [piece]
+        return self.compatible(left, piece)
 
     def ids_of(self, piece: str) -> list[int]:
         i = self.normal.get(piece)
@@ -167,24 +164,57 @@ class PieceModel:
         if window:
             yield self._back(last, len(window))
 
-    def unit(self, text: str) -> list[int]:
-        """Ids of a unit that fits the window: the same lattice without the stream."""
-        n, longest, normal, pairs = len(text), self.longest, self.normal, self.pairs
-        last: list[str | None] = [None] * (n + 1)
-        for i in range(1, n + 1):
-            for k in range(i - longest if i > longest else 0, i):
-                piece = text[k:i]
-                if piece in normal or k == i - 1:
-                    left = last[k]
-                    ok = pairs.get((left, piece))
-                    if ok is None:
-                        ok = self.follows(left, piece)
-                    if ok:
-                        last[i] = piece
-                        break
+    def unit(self, text: str) -> tuple[int, ...]:
+        """Ids of a unit that fits the window: the same lattice without the stream, over ids.
+
+        A character that no piece contains stands as a negative number. The lattice of a prefix is that of every unit
+        which begins so: those of each fourth length are remembered.
+        """
+        n, longest, known, pairs, prefixes = len(text), self.longest, self.normal, self.pairs, self.prefixes
+        last, done = [-1], 0
+        for m in range((n - 1) // PREFIX * PREFIX, 0, -PREFIX):
+            found = prefixes.get(text[:m])
+            if found is not None:
+                last, done = list(found), m
+                break
+        for i in range(done + 1, n + 1):
+            for k in range(i - 1, (i - longest if i > longest else 0) - 1, -1):
+                part = text[k:i]
+                if part in known:
+                    piece = known[part]
+                elif k < i - 1:
+                    continue
+                else:
+                    piece = -2 - ord(part)
+                key = last[k] * 0x400000 + piece
+                ok = pairs.get(key)
+                if ok is None:
+                    ok = pairs[key] = self.follows(None if last[k] == -1 else self._name(last[k]), self._name(piece))
+                if ok:
+                    last.append(piece)
+                    break
             else:
                 raise AssertionError(f"no path reaches position {i}")
-        return self._back(last, n)
+            if not i % PREFIX and i < n:
+                prefixes[text[:i]] = tuple(last)
+        if len(prefixes) > PREFIXES:
+            prefixes.clear()
+        if len(pairs) > PAIRS:
+            pairs.clear()
+        out, lengths = [], self.lengths
+        while n:
+            piece = last[n]
+            if piece >= 0:
+                out.append(piece)
+                n -= lengths[piece]
+            else:
+                out += reversed(self.ids_of(self._name(piece)))
+                n -= 1
+        out.reverse()
+        return tuple(out)  # a tuple of numbers, which the garbage collector need not follow
+
+    def _name(self, piece: int) -> str:
+        return self.names[piece] if piece >= 0 else chr(-2 - piece)
 
     def _back(self, last: list[str | None], end: int) -> list[int]:
         pieces = []
@@ -193,19 +223,18 @@ class PieceModel:
             end -= len(last[end])
         return [x for p in reversed(pieces) for x in self.ids_of(p)]
 
-    def _ids_of(self, units: list[str]) -> list[list[int]]:
+    def _ids_of(self, units: list[str]) -> list[tuple[int, ...]]:
         cache = self.cache
-        if len(cache) > CACHE_UNITS:
+        out = list(map(cache.get, units))
+        new = [i for i, ids in enumerate(out) if ids is None]
+        if len(cache) + len(new) > CACHE_UNITS:
             cache.clear()
-        out = []
-        for u in units:
-            ids = cache.get(u)
-            if ids is None:
-                if len(u) <= CACHE_CHARS:
-                    ids = cache[u] = self.unit(u) if u else []
-                else:
-                    ids = list(chain.from_iterable(self.viterbi(u)))
-            out.append(ids)
+        for i in new:
+            u = units[i]
+            if len(u) <= CACHE_CHARS:
+                out[i] = cache[u] = self.unit(u) if u else ()
+            else:
+                out[i] = tuple(chain.from_iterable(self.viterbi(u)))
         return out
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
