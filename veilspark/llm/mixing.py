@@ -78,16 +78,13 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
         F.col("source").alias("__s"), "source_size", "target",
         F.least(F.floor(rate), F.lit(int(max_epochs))).alias("__whole"), (F.col("target") - F.floor(rate) * F.col("source_size")).alias("__extra"),
     )
-    # The range in which a source's words reach the extra ones, and the words of the ranges before it.
-    running = F.sum("__words").over(W.partitionBy("__source").orderBy("__range"))
-    cuts = (
-        ranges.withColumn("__upto", running)
-        .join(targets, F.col("__source").eqNullSafe(F.col("__s")))
-        .where((F.col("__upto") > F.col("__extra")))
-        .groupBy("__s")
-        .agg(F.min(F.struct("__range", (F.col("__upto") - F.col("__words")).alias("before"))).alias("__cut"))
-        .select(F.col("__s").alias("__c"), F.col("__cut.__range").alias("__at"), F.col("__cut.before").alias("__before"))
-    )
+    # The range in which a source's words reach the extra ones, and the words of the ranges before it: first among the
+    # ranges of two digits, then among those of four within the one found, so that a window has 256 rows at most.
+    wanted = targets.select("__s", "__extra", F.lit(0).cast("long").alias("__passed"))
+    first = _cut(ranges.groupBy("__source", F.substring("__range", 1, RANGE_DIGITS // 2).alias("__part")).agg(F.sum("__words").alias("__words")), wanted)
+    inner = ranges.join(first.select(F.col("__s").alias("__f"), "__at"), F.col("__source").eqNullSafe(F.col("__f")) & (F.substring("__range", 1, RANGE_DIGITS // 2) == F.col("__at")))
+    second = _cut(inner.select("__source", F.col("__range").alias("__part"), "__words"), first.select("__s", "__extra", F.col("__before").alias("__passed")))
+    cuts = second.select(F.col("__s").alias("__c"), "__at", "__before")
     targets = materialized(targets.join(cuts, F.col("__s").eqNullSafe(F.col("__c")), "left").drop("__c"), "targets")
     joined = _with_targets(rows, targets)
     at = F.col("__at")
@@ -103,6 +100,18 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     )
 
 
+def _cut(parts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """For each source the first part at which the words passed so far exceed the extra ones: ``__s, __extra, __at, __before``.
+
+    A source whose words never exceed them has no row.
+    """
+    running = F.sum("__words").over(W.partitionBy("__source").orderBy("__part"))
+    met = parts.withColumn("__sum", running).join(wanted, F.col("__source").eqNullSafe(F.col("__s")))
+    over = met.where(F.col("__passed") + F.col("__sum") > F.col("__extra"))
+    found = over.groupBy("__s", "__extra").agg(F.min(F.struct("__part", (F.col("__passed") + F.col("__sum") - F.col("__words")).alias("b"))).alias("c"))
+    return found.select("__s", "__extra", F.col("c.__part").alias("__at"), F.col("c.b").alias("__before"))
+
+
 def _with_targets(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """``rows`` with the target of their source. Few sources are broadcast, after a count; many are met by salted keys."""
     if targets.count() <= BROADCAST_SOURCES:
