@@ -433,8 +433,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = classify(docs, id_col, text_col).rows
     best = rows.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("b"))
     # At most one row per id and text: different texts of one class never both come first, equal ones share a class.
-    stay = best.select(F.col("b.doc_id").alias("__keep_id"), F.col("b.text_hash").alias("__keep_hash")).distinct()
-    marked = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    kept = marked.join(stay, F.col(id_col).eqNullSafe(F.col("__keep_id")) & (F.col("__hash") == F.col("__keep_hash")), "left_semi")
-    first = F.row_number().over(W.partitionBy(F.col(id_col), "__hash").orderBy(F.lit(0)))
-    return kept.withColumn("__nth", first).where("__nth = 1").select(*quoted(docs.columns))
+    # Keys without nulls let the join and the numbering of repeated rows share one shuffle.
+    keys = ["__keep_id", "__keep_null", "__keep_hash"]
+    stay = best.select(F.coalesce("b.doc_id", F.lit(0)).alias(keys[0]), F.col("b.doc_id").isNull().alias(keys[1]), F.col("b.text_hash").alias(keys[2]))
+    own = F.col(id_col).cast("long")
+    marked = docs.withColumns({keys[0]: F.coalesce(own, F.lit(0)), keys[1]: own.isNull(), keys[2]: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    kept = marked.join(stay, keys, "left_semi")
+    return kept.withColumn("__keep_nth", F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(0)))).where("__keep_nth = 1").select(*quoted(docs.columns))
