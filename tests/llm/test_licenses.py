@@ -53,6 +53,19 @@ def test_templates(text, label):
         assert label in labels and 0.9 <= score <= 1
 
 
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("Apache License Version 2.0, January 2004", "apache-2.0"), ("MIT License, Copyright (c) 2020", "mit"), ("GNU General Public License, version 3", "gpl-3.0"),
+        ("GNU Lesser General Public License", "lgpl"), ("CC BY-SA 4.0", "cc-by-sa-4.0"), ("under the Apache License, Version 2.0", "apache-2.0"),
+    ],
+)
+def test_texts_that_open_in_the_middle_of_a_template(text, label):
+    alone, later = scan(text), scan(f"{PROSE}\n{text}")
+    assert label in alone[4] and label in later[4] and alone[5] > licenses.BASE_SCORE
+    assert any(x[0] == label and x[1] == 0 for x in alone[6])
+
+
 def test_clean_texts_have_no_label():
     assert scan(PROSE)[4] == set() and scan(PROSE)[5] == 0
     assert "mit" not in scan("He went to MIT. The license was released.")[4]

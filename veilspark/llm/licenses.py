@@ -132,16 +132,20 @@ class LicenseIndex:
         labels, score, spans = set(base), BASE_SCORE if base else 0.0, []
         for t, starts in votes.items():
             own, order = self.words[t], sorted(starts)
-            need, low, done = MIN_SHARE * self.weight[t], 0, -len(self.words[t])
+            need, low = MIN_SHARE * self.weight[t], 0
+            done: int | None = None  # the last verified start; below 0 where a text opens in the middle of a template
             for high, start in enumerate(order):
                 while order[low] < start - DRIFT:
                     low += 1
                 met = set().union(*(starts[s] for s in order[low : high + 1]))
-                if start < done + len(own) or sum(self.idf[w] for w in met) < need:
+                over = done is not None and start < done + len(own)
+                if (over and (start < 0 or done >= 0)) or sum(self.idf[w] for w in met) < need:
                     continue
                 a, b = max(0, order[low] - DRIFT), start + len(own) + DRIFT
                 window = words[a:b]
                 if all(_stands(k, window) for k in self.keys[t]):
+                    if over:  # an opening hides none that follows: the later span takes its place
+                        spans.pop()
                     done = start
                     present = set(window)
                     found = sum(self.idf[w] for w in set(own) if w in present) / self.total[t]
