@@ -24,6 +24,8 @@ BUILTIN = RuleSet.builtin()
 BY_NAME = {r.name: r for r in BUILTIN}
 #: The rules that the tables have matches for.
 FOUR = RuleSet.of(BY_NAME[n] for n in ("email", "ipv4", "ssn", "credit_card"))
+#: Rules whose matches overlap.
+OVERLAPPING = RuleSet.of([BY_NAME["ipv4"], Rule("at_host", "@", r"[a-z0-9]+@[0-9.]+", "")])
 #: A user's own rule over JSON properties.
 PROPS = RuleSet.from_lines([r'k_value|"k"|"k": [0-9]+|"k": "[REDACTED:k]"'], "inline")
 #: Lines of the generated table: templates with a known secret each, chosen by number.
@@ -201,6 +203,11 @@ def redact_large_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generated_lines(spark).select("line_no", redact_udf(rules, per_line=False)("value").alias("redacted"))
 
 
+def redact_counted(spark: SparkSession, sf_dir: str, rules: RuleSet, policy: Policy = Policy()) -> DataFrame:
+    """A rule set on every line of every document, with its counts."""
+    return _table(spark, sf_dir, "documents").select("doc_id", result_udf(rules, policy)("text").alias("r")).select("doc_id", "r.redacted", F.col("r.n_spans").cast("long").alias("n_spans"), F.col("r.n_hits").cast("long").alias("n_hits"))
+
+
 def modified_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = _table(spark, sf_dir, "documents").withColumn("r", redact_udf(FOUR)("text"))
     return done.select("doc_id", Redactor.modified(F.col("text"), F.col("r")).alias("modified"))
@@ -218,9 +225,8 @@ def findings_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merge_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping rules: an address whose host is an IPv4 address becomes one span."""
-    rules = RuleSet.of([BY_NAME["ipv4"], Rule("at_host", "@", r"[a-z0-9]+@[0-9.]+", "")])
     text = F.concat(F.lit("to user"), F.col("line_no").cast("string"), F.lit("@10.0.0."), (F.col("line_no") % 200).cast("string"), F.lit(" from 10.1.1.1"))
-    return generated_lines(spark, 2000).select("line_no", result_udf(rules, per_line=False)(text).alias("r")).select("line_no", "r.redacted", F.col("r.n_spans").cast("long").alias("n_spans"), F.col("r.n_hits").cast("long").alias("n_hits"))
+    return generated_lines(spark, 2000).select("line_no", result_udf(OVERLAPPING, per_line=False)(text).alias("r")).select("line_no", "r.redacted", F.col("r.n_spans").cast("long").alias("n_spans"), F.col("r.n_hits").cast("long").alias("n_hits"))
 
 
 def redact_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,6 +350,9 @@ def _registered() -> dict[str, tuple[Query, str | None]]:
         "findings_strings": (findings_strings, f"SELECT doc_id, unnest(regexp_extract_all(text, {pattern_sql(email[0], 'text')})) AS match FROM documents"),
         "merge_spans": (merge_spans, "SELECT id AS line_no, 'to [REDACTED:at_host] from [REDACTED:ipv4]' AS redacted, CAST(2 AS BIGINT) AS n_spans, CAST(3 AS BIGINT) AS n_hits FROM range(2000) t(id)"),
         "redact_cascade": (redact_cascade, None),
+        "redact_catalog_documents": (partial(redact_counted, rules=BUILTIN.union(RuleSet.categories())), None),
+        "redact_cascade_documents": (partial(redact_counted, rules=BUILTIN, policy=Policy(mode="cascade")), None),
+        "merge_spans_documents": (partial(redact_counted, rules=OVERLAPPING), None),
         "run_stats": (run_stats, f"SELECT count(*) AS lines_processed, CAST(sum(CASE WHEN r <> value THEN 1 ELSE 0 END) AS BIGINT) AS lines_modified, CAST(sum(h) AS BIGINT) AS patterns_matched, CAST(sum(s) AS BIGINT) AS spans, CAST(sum(strlen(value)) AS BIGINT) AS bytes_read, CAST(sum(strlen(r)) AS BIGINT) AS bytes_written, CAST({len(FOUR)} AS BIGINT) AS patterns_loaded FROM (SELECT value, {_FOUR_LINES} AS r, {hits_sql('value', FOUR)} AS h, len(regexp_extract_all({_FOUR_LINES}, '\\[REDACTED:')) AS s FROM {_LINES_SQL})"),
         "tag_counts": (tag_counts, f"SELECT doc_id, CAST(len(regexp_extract_all({four}, '\\[REDACTED:')) AS BIGINT) AS n_tags FROM documents"),
         "json_props": (json_props, "SELECT event_id, r AS props, json_extract_string(r, '$.k') AS k FROM (SELECT event_id, " + chain_sql("props", PROPS) + " AS r FROM events)"),
@@ -356,6 +365,7 @@ def _registered() -> dict[str, tuple[Query, str | None]]:
     }
     for p, redacted in _PROFILE_SQL.items():
         out[f"redact_profile_{p}"] = (partial(redact_profile, profile=p), f"SELECT id AS line_no, {redacted} AS redacted FROM range(1000) t(id)")
+        out[f"redact_profile_{p}_documents"] = (partial(redact_counted, rules=RuleSet.profiles(p)), None)
     out |= reports.registered(FOUR, hits_sql)
     return out
 
