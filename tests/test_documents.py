@@ -33,3 +33,11 @@ def test_every_line_of_documents(spark, tmp_path, name):
     got = {r.doc_id: (r.redacted, r.n_spans, r.n_hits) for r in plans.queries()[name](spark, str(tmp_path)).collect()}
     assert got == {i: (None, None, None) if x is None else brute(rules, x) for i, x in enumerate(TEXTS)}
     assert got[4][1] == 40 * got[3][1] > 0
+
+
+def test_all_hits_has_no_limit(spark, tmp_path):
+    found = [f"10.0.{i // 250}.{i % 250}" for i in range(300)]
+    texts = [" ".join(found), "\n".join(found), "none", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.matches, r.n) for r in plans.queries()["all_hits"](spark, str(tmp_path)).collect()}
+    assert got == {0: (" ".join(found), 300), 1: (" ".join(found), 300), 2: ("", 0), 3: ("", 0)}

@@ -150,11 +150,17 @@ def rule_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def most_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 64 matched strings of a document, as the capped mode has them."""
+    """A report of the first 64 matched strings of a document, as its SQL has it; ``all_hits`` has all of them."""
     found = F.slice(native.matches("text", BY_NAME["ipv4"]), 1, 64)
     return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(found, " ").alias("matches"), F.size(found).cast("long").alias("n"))
 
 
+def all_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All matched strings of a document."""
+    found = native.matches("text", BY_NAME["ipv4"])
+    return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(found, " ").alias("matches"), F.size(found).cast("long").alias("n"))
+
+
 # Lines.
 
 
@@ -335,6 +341,7 @@ def _registered() -> dict[str, tuple[Query, str | None]]:
         "first_email": (first_email, f"SELECT doc_id, CAST(CASE WHEN regexp_matches(text, {pattern_sql(email[0], 'text')}) THEN strpos(text, regexp_extract(text, {pattern_sql(email[0], 'text')})) ELSE 0 END AS BIGINT) AS first_email FROM documents"),
         "rule_lookup": (rule_lookup, "SELECT doc_id, tag, category, CAST(n AS BIGINT) AS n FROM (" + " UNION ALL ".join(f"SELECT doc_id, {sql_string(r.tag)} AS tag, {sql_string(r.category)} AS category, {hits_sql('text', RuleSet.of([r]))} AS n FROM documents" for r in FOUR) + ") WHERE n > 0"),
         "most_hits": (most_hits, f"SELECT doc_id, array_to_string(m, ' ') AS matches, CAST(len(m) AS BIGINT) AS n FROM (SELECT doc_id, list_slice(regexp_extract_all(text, {pattern_sql(BY_NAME['ipv4'], 'text')}), 1, 64) AS m FROM documents)"),
+        "all_hits": (all_hits, f"SELECT doc_id, array_to_string(m, ' ') AS matches, CAST(len(m) AS BIGINT) AS n FROM (SELECT doc_id, regexp_extract_all(text, {pattern_sql(BY_NAME['ipv4'], 'text')}) AS m FROM documents)"),
         "split_lines": (split_lines_query, f"SELECT doc_id, line_no, value FROM {_LINES_SQL}"),
         "blank_lines": (blank_lines, f"SELECT doc_id, CAST(sum(CASE WHEN value = '' THEN 1 ELSE 0 END) AS BIGINT) AS n_blank FROM {_LINES_SQL} GROUP BY doc_id"),
         "line_stats": (line_stats, f"SELECT doc_id, count(*) AS n_lines, CAST(sum(strlen(value) + 1) - 1 AS BIGINT) AS n_bytes, CAST(max(strlen(value)) AS BIGINT) AS max_line_bytes FROM {_LINES_SQL} GROUP BY doc_id"),
