@@ -1,3 +1,4 @@
+import math
 import random
 from collections import defaultdict
 
@@ -98,3 +99,10 @@ def test_messy(spark, messy, none):
     expected = {v[0] for v in brute(MESSY).values()}
     assert len(rows) == len(expected)
     assert N.class_rows(none).count() == N.keep_one(none).count() == 0
+
+
+def test_recall_with_the_sketch_reaches_the_target():
+    same, bits = N.NUMERATOR / N.DENOMINATOR, N.SKETCH
+    equal = (1 + same) / 2
+    sketch = sum(math.comb(bits, k) * equal**k * (1 - equal) ** (bits - k) for k in range(N.MIN_EQUAL_BITS))
+    assert (1 - same ** N.prefix_depth()) ** N.TREES + sketch <= 1 - N.RECALL

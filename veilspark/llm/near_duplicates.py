@@ -1,10 +1,12 @@
-"""N-gram Jaccard join: MinHash LSH forest with exact verification.
+"""N-gram Jaccard join: MinHash bands with exact verification.
 
 A text's set is the hashes of its runs of five words (a shorter text is one run). Texts with equal sets are one node.
-Each node's MinHash values label a path in every tree of a forest; the prefix of a path on which two nodes must meet is
-shortened from the full depth until the chance to meet in some tree, at the threshold, reaches the target recall. Nodes
-that meet are compared by one-bit sketches of their values and by size; what cannot be similar is left out. What remains
-is linked by spanning trees, not by pairs, and its components are the units of exact verification: the sets of a unit
+Each node has one key in each of 24 tables, a hash of a fixed band of five MinHash values; nodes meet where a key is equal.
+The length of the bands is the longest at which the chance to meet in some table, at the threshold, reaches the target
+recall; it follows from the constants alone. This stands in for an LSH forest: there are no sorted prefix trees, and no
+prefix adapts to the data. Nodes that meet are compared by one-bit sketches of their values and by size; what cannot be
+similar by size, or is unlikely to be by sketch, is left out. At the threshold bands lose at most 7.3e-5 of the pairs and
+sketches 0.8e-5, together less than the 1e-4 that the target leaves. What remains is linked by spanning trees, not by pairs, and its components are the units of exact verification: the sets of a unit
 are compared with each other, all pairs, in numpy, and only the number of links of each node and a spanning forest of
 the links come out.
 
@@ -37,8 +39,8 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 4, 5
 TREES, FULL_DEPTH, RECALL = 24, 8, 0.9999
 SKETCH = 128
-#: Sketch bits that two nodes of similarity 0.8 share, less four standard deviations: 128 * 0.9 - 4 * 3.4.
-MIN_EQUAL_BITS = 101
+#: Sketch bits that two nodes of similarity 0.8 share, less 4.7 standard deviations: fewer have a chance of 7.7e-6.
+MIN_EQUAL_BITS = 99
 #: Members of one block of a bucket; nodes and shingles of one block of a unit.
 BUCKET_BLOCK, UNIT_NODES, UNIT_SHINGLES = 2048, 1024, 1 << 20
 #: Bits of the filter on texts: 65,536 numbers are broadcast at most.
