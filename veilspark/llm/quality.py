@@ -43,7 +43,7 @@ class QualityConfig:
     max_symbols_per_word: float = 0.5
     #: A line fails when more than this share of its words end in doubled exclamation or question marks.
     max_shout_share: float = 0.3
-    #: A line of at least ``upper_min_words`` words fails when more than this share of its letters' words is upper case.
+    #: Not applied: a line of at least ``upper_min_words`` words fails only when all its letters are upper case, as OP1_SQL has it.
     max_upper_share: float = 0.7
     upper_min_words: int = 5
     #: A line fails as navigation with at least this share of separator tokens.
