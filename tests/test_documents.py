@@ -41,3 +41,9 @@ def test_all_hits_has_no_limit(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: (r.matches, r.n) for r in plans.queries()["all_hits"](spark, str(tmp_path)).collect()}
     assert got == {0: (" ".join(found), 300), 1: (" ".join(found), 300), 2: ("", 0), 3: ("", 0)}
+
+
+def test_null_texts_are_reassembled(spark, tmp_path):
+    rows = [(1, "a\nb"), (2, None), (3, ""), (4, "\n")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(map(tuple, plans.queries()["reassembled_documents"](spark, str(tmp_path)).collect())) == rows

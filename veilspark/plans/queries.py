@@ -184,8 +184,10 @@ def over_long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reassembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents to lines and back; a null text, which has no lines, is null again."""
     docs = _table(spark, sf_dir, "documents")
-    return line_source.assemble_lines(line_source.explode_lines(docs, "text", ["doc_id"]), ["doc_id"])
+    back = line_source.assemble_lines(line_source.explode_lines(docs, "text", ["doc_id"]), ["doc_id"])
+    return back.union(docs.where(F.col("text").isNull()).select("doc_id", "text"))
 
 
 # The Arrow path.
