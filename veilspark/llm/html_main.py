@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from veilspark.llm.common import bound_batches
-from veilspark.llm.html_nodes import GROUP_NAMES, Page, blocks, read
+from veilspark.llm.html_nodes import GROUP_NAMES, GROUPS, HIDDEN_BIT, Page, blocks, read
 
 TAG_KINDS = {
     "p": 1, "h1": 2, "h2": 2, "h3": 2, "h4": 2, "h5": 2, "h6": 2, "div": 3, "article": 4, "main": 4, "section": 5, "nav": 6, "menu": 6, "header": 7,
@@ -32,8 +32,8 @@ TAG_KINDS = {
 N_KINDS = 17
 DROPS = ("nav", "menu", "header", "footer", "aside", "form", "dialog")
 #: Trees, their depth, bins of a feature, step length.
-TREES, DEPTH, BINS, STEP = 40, 4, 24, 0.3
-TRAINING_PAGES, SEED = 700, 11
+TREES, DEPTH, BINS, STEP = 60, 5, 24, 0.3
+TRAINING_PAGES, SEED = 1500, 11
 
 
 def node_features(pages: list[Page]) -> np.ndarray:
@@ -156,8 +156,9 @@ def boost(x: np.ndarray, y: np.ndarray) -> Boosted:
 
 
 def decode(page: Page, probability: np.ndarray) -> list[bool]:
-    """The most probable choice of kept nodes in which a dropped node drops its whole subtree."""
+    """The most probable choice of kept nodes in which a dropped node drops its whole subtree; what is not shown is dropped."""
     p = np.clip(probability, 1e-4, 1 - 1e-4)
+    p[(np.array(page.masks) & HIDDEN_BIT) != 0] = 1e-300
     keep, drop = np.log(p).tolist(), np.log1p(-p).tolist()
     n = len(page.tags)
     for i in range(n - 1, 0, -1):
@@ -181,6 +182,7 @@ class _Layouts:
         self.r = random.Random(seed)
         self.out: list[str] = []
         self.labels: list[bool] = []
+        self.manner = "p"
 
     def words(self, low: int, high: int) -> str:
         r = self.r
@@ -208,13 +210,22 @@ class _Layouts:
 
     def named(self, group: str, strength: float = 0.75) -> str:
         """Attributes whose words belong to a group, or meaningless ones."""
-        from veilspark.llm.html_nodes import GROUPS
-
         r = self.r
         word = r.choice(GROUPS[group].split()) if r.random() < strength else r.choice(("box", "col", "wrap", "c1", "x7", "block"))
         extra = r.choice(("", "", "-1", " box", "-wrap", "_inner", " clearfix"))
+        if group == "content" and r.random() < 0.2:  # stories whose own attributes hold a word of furniture
+            extra += " " + r.choice(GROUPS[r.choice(("share", "header", "side", "notice", "comment"))].split())
         return r.choice((f' class="{word}{extra}"', f' id="{word}"', f" class='{extra.strip('-_')} {word}'"))
 
+    def paragraph(self) -> None:
+        """A paragraph of the story in the manner of the page: its own element, or text between line breaks."""
+        r = self.r
+        attributes = r.choice((' class="lead"', ' class="par"', ' class="text"', ' id="p1"', ' class="intro"', ' class="social"')) if r.random() < 0.08 else ""
+        if self.manner == "br":
+            self.out.append(self.words(8, 120) + r.choice(("<br>", "<br><br>", "<br/>")))
+        else:
+            self.leaf(self.manner, True, 1, 160, attributes)
+
     def furniture(self, kind: str) -> None:
         r = self.r
         tag = {"menu": r.choice(("nav", "nav", "div", "ul", "menu")), "header": r.choice(("header", "div")), "footer": r.choice(("footer", "footer", "div")), "side": r.choice(("aside", "div", "section")), "form": r.choice(("form", "form", "div", "section")), "notice": r.choice(("div", "section", "dialog", "aside", "p")), "advert": r.choice(("div", "div", "aside", "section", "p")), "comment": r.choice(("section", "div", "div", "ol")), "share": r.choice(("div", "ul", "section"))}[kind]
@@ -224,7 +235,9 @@ class _Layouts:
             self.leaf("p", False, 2, 30, attributes)
             return
         self.open(tag, False, attributes)
-        if kind in ("menu", "share") or kind == "side" and r.random() < 0.5:
+        if kind in ("menu", "share", "side", "footer", "header") and tag not in ("ul", "menu") and r.random() < 0.25:
+            self.links()
+        elif kind in ("menu", "share") or kind == "side" and r.random() < 0.5:
             if tag != "ul":
                 if r.random() < 0.3:
                     self.leaf("h3", False, 1, 3)
@@ -261,9 +274,38 @@ class _Layouts:
                 self.leaf(r.choice(("p", "div", "p")), False, 1, 30, linked=0.3)
         self.out.append(f"</{tag}>")
 
+    def links(self) -> None:
+        """Links in a row, divided by signs or line breaks."""
+        r = self.r
+        sign = r.choice((" | ", "<br>", "<br>", " ", " - ", " &middot; "))
+        self.out.append(sign.join(f'<a href="/{r.randint(0, 999)}">{self.words(1, 4)}</a>' for _ in range(r.randint(2, 9))))
+
+    def columns(self) -> None:
+        """The story in a column beside others, in a table or in boxes."""
+        r = self.r
+        row, cell = r.choice((("table", "td"), ("div", "div"), ("section", "div"), ("div", "section")))
+        self.open(row, True, r.choice(("", "", ' class="grid"', ' class="row"', ' id="columns"')))
+        if row == "table":
+            self.open("tr", True)
+        kinds = [r.choice(("menu", "side", "side", "advert", "share", "form")) for _ in range(r.choice((0, 1, 1, 1, 2)))]
+        kinds.insert(r.randint(0, len(kinds)), "story")
+        for kind in kinds:
+            if kind == "story":
+                self.open(cell, True, r.choice(("", "", ' class="col-8"', ' class="grid-main"', self.named("content"))))
+                self.content()
+            elif r.random() < 0.5:
+                self.open(cell, False, r.choice(("", ' width="120"', ' class="col-4"', self.named(kind))))
+                self.links() if kind in ("menu", "side", "share") else self.furniture(kind)
+            else:
+                # A plain cell is the furniture's own box: nothing else is in it.
+                self.open(cell, False)
+                self.furniture(kind)
+            self.out.append(f"</{cell}>")
+        self.out.append("</tr></table>" if row == "table" else f"</{row}>")
+
     def content(self) -> None:
         r = self.r
-        if r.random() < 0.85:
+        if r.random() < 0.65:
             if r.random() < 0.1:
                 self.open("header", True)
                 self.leaf("h1", True, 2, 14)
@@ -273,7 +315,11 @@ class _Layouts:
         for _ in range(r.choice((1, 1, 2, 3, 5, 8, 13, 20))):
             k = r.random()
             if k < 0.75:
-                self.leaf("p", True, 1, 160)
+                boxed = r.random() < 0.06
+                if boxed:
+                    self.open("div", True, r.choice(("", ' class="block"', ' class="dateline"', ' class="inner"')))
+                self.paragraph()
+                self.out.append("</div>" if boxed else "")
             elif k < 0.82:
                 self.leaf(r.choice(("h2", "h3")), True, 1, 8)
             elif k < 0.88:
@@ -302,22 +348,34 @@ class _Layouts:
     def page(self) -> tuple[str, list[bool]]:
         r = self.r
         self.out, self.labels = ["<!DOCTYPE html><html><head><title>t</title></head><body>"], [True]
+        if r.random() < 0.12:  # a page that holds nothing else
+            self.manner = r.choice(("p", "p", "p", "div", "br"))
+            self.content()
+            self.out.append("</body></html>")
+            return "".join(self.out), self.labels
         wrap = r.random() < 0.4
         if wrap:
             self.open("div", True, r.choice(("", ' class="wrap"', ' id="page"', ' class="container"')))
         for kind in r.sample(("menu", "header", "notice", "advert", "form", "side"), r.choice((0, 1, 1, 2, 2, 3, 4))):
             self.furniture(kind)
-        if r.random() < 0.97:
-            tag = r.choice(("article", "article", "article", "main", "div", "div", "section", "td"))
+        self.manner = r.choice(("p", "p", "p", "p", "div", "div", "div", "br"))
+        if r.random() < 0.2:
+            self.columns()
+        elif r.random() < 0.97:
+            tag = r.choice(("article", "article", "article", "main", "div", "div", "section", "td", "", "", ""))
             if tag == "td":
                 self.open("table", True)
                 self.open("tr", True)
+            outer = r.random() < 0.2
+            if outer:
+                self.open("div", True, r.choice(("", ' class="row"', ' class="layout"', ' id="wrapper"')))
             twice = tag == "main" and r.random() < 0.5
-            self.open(tag, True, "" if tag in ("article", "main") and r.random() < 0.7 else self.named("content", 0.7))
+            if tag:
+                self.open(tag, True, "" if r.random() < (0.7 if tag in ("article", "main") else 0.3) else self.named("content", 0.7))
             if twice:
                 self.open("article", True)
             self.content()
-            self.out.append(("</article>" if twice else "") + f"</{tag}>" + ("</tr></table>" if tag == "td" else ""))
+            self.out.append(("</article>" if twice else "") + (f"</{tag}>" if tag else "") + ("</div>" if outer else "") + ("</tr></table>" if tag == "td" else ""))
         for kind in r.sample(("side", "comment", "advert", "share", "form", "menu", "notice"), r.choice((0, 0, 1, 1, 2, 3))):
             self.furniture(kind)
         if r.random() < 0.8:

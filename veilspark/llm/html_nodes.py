@@ -1,7 +1,9 @@
 """A tolerant HTML reader: text to a flat list of nodes, and kept nodes to blocks of text.
 
 Nodes are the elements that are no inline markup, in page order, each with the index of its parent (always smaller).
-The reader is one pass of a tokenizing pattern without recursion, linear in the page.
+The reader is one pass of a scanner without recursion or backtracking, linear in the page: a tag ends at the first ``>``
+outside the quoted values that follow a ``=``. Once such a tag runs to the end of the page, quotes are no longer
+believed and every later tag ends at its first ``>``; a tag without any is dropped with the rest, as browsers do.
 """
 
 from __future__ import annotations
@@ -18,22 +20,32 @@ SKIPPED = frozenset("head svg math canvas audio video object applet map datalist
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-#: A start tag of the first kind ends an open paragraph.
+#: Start tags that end an open paragraph.
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()
 )
-#: An open element that a start tag of the same row ends, and the elements that shield it.
-CLOSES_OWN = {
-    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",)),
-    "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
-    "tbody": (("thead", "tbody", "tr", "td", "th"), ("table",)), "thead": (("thead", "tbody", "tr", "td", "th"), ("table",)), "tfoot": (("thead", "tbody", "tr", "td", "th"), ("table",)),
+#: Elements that a start tag ends where they are open, and those that shield them.
+ENDS = {
+    "p": (("p",), ("button", "table", "td", "th", "caption", "object")), "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)),
+    "option": (("option",), ("select",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")),
+    "tbody": (("thead", "tbody", "tr", "td", "th"), ("table",)),
 }
-P_SHIELDS = frozenset(("button", "table", "td", "th", "caption", "object"))
+#: The row of ``ENDS`` for each start tag, and the rows in which an element ends or shields.
+ROW = dict.fromkeys(CLOSES_P, "p") | {"li": "li", "dt": "dt", "dd": "dt", "option": "option", "tr": "tr", "td": "td", "th": "td", "tbody": "tbody", "thead": "tbody", "tfoot": "tbody"}
+ROWS_OF: dict[str, tuple[str, ...]] = {}
+for _row, _both in ENDS.items():
+    for _name in (*_both[0], *_both[1]):
+        ROWS_OF[_name] = (*ROWS_OF.get(_name, ()), _row)
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+#: Up to the ``>`` of a tag, quoted values passed over; nothing is tried twice.
+TAG_END = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+>""")
+TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
+NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 WHITE = re.compile(r"\s+")
+#: Zeros before a decimal character reference, and references beyond all characters.
+ZEROS, TOO_LARGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
 
 #: Groups of attribute words, one bit each.
 GROUPS = {
@@ -58,7 +70,7 @@ _masks: dict[str, int] = {}
 
 
 def attribute_mask(attributes: str) -> int:
-    """Groups of the words in class, id and role; a bit more for hidden elements."""
+    """Groups of the words in class, id and role; a bit more for elements that are not shown."""
     if not attributes or attributes.isspace():
         return 0
     mask = _masks.get(attributes)
@@ -66,8 +78,9 @@ def attribute_mask(attributes: str) -> int:
         mask = 0
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            if name == "hidden" or name == "style" and NOT_SHOWN.search(value):
                 mask |= HIDDEN_BIT
+            if name not in ("class", "id", "role"):
                 continue
             for w in PART.findall(value):
                 mask |= _BITS.get(w.lower(), 0)
@@ -99,8 +112,10 @@ def read(source: str | None) -> Page:
         return page
     open_names, open_nodes = ["html"], [0]
     counts: dict[str, int] = {}
+    #: For each row of ``ENDS`` the places of the open elements that end or shield in it.
+    marks: dict[str, list[int]] = {row: [] for row in ENDS}
     links = block = 0
-    at, n, skip = 0, len(source), ""
+    at, n, skip, quotes = 0, len(source), "", True
     tags, parents, depths, masks, runs = page.tags, page.parents, page.depths, page.masks, page.runs
 
     def pop_to(k: int) -> None:
@@ -108,20 +123,52 @@ def read(source: str | None) -> Page:
         for name in open_names[k:]:
             counts[name] -= 1
             links -= name == "a"
+            for row in ROWS_OF.get(name, ()):
+                marks[row].pop()
         del open_names[k:], open_nodes[k:]
 
-    while at < n:
-        m = TOKEN.search(source, at)
-        stop = m.start() if m else n
-        if stop > at and not skip:
-            runs.append((open_nodes[-1], block, source[at:stop], links > 0))
-        if not m:
+    def ended(row: str) -> int:
+        """The place of the outermost open element that a start tag of the row ends; 0 if none."""
+        found, ends = 0, ENDS[row][0]
+        for k in reversed(marks[row]):
+            if open_names[k] not in ends:
+                break
+            found = k
+        return found
+
+    def text(start: int, stop: int) -> None:
+        if stop > start and not skip:
+            runs.append((open_nodes[-1], block, source[start:stop], links > 0))
+
+    start = 0
+    while True:
+        i = source.find("<", at)
+        if i < 0:
+            text(start, n)
             break
-        at = m.end()
-        name = m[2]
-        if name is None:
+        after = source[i + 1 : i + 2]
+        if after in ("!", "?"):
+            text(start, i)
+            stop = source.find("-->", i + 4) if source.startswith("<!--", i) else source.find(">", i)
+            if stop < 0:
+                break
+            start = at = stop + (3 if source.startswith("<!--", i) else 1)
+            continue
+        closing = after == "/"
+        m = TAG_NAME.match(source, i + 1 + closing)
+        if m is None:  # a sign in the text
+            at = i + 1
             continue
-        name, closing = name.lower(), bool(m[1])
+        text(start, i)
+        name = m[0].lower()
+        end = TAG_END.match(source, m.end()) if quotes else None
+        stop = end.end() if end else source.find(">", m.end()) + 1
+        if end is None:
+            quotes = False
+            if not stop:
+                break
+        attributes = source[m.end() : stop - 1]
+        start = at = stop
         if skip:
             if closing and name == skip:
                 skip = ""
@@ -129,7 +176,7 @@ def read(source: str | None) -> Page:
                 skip = ""
             if skip or closing:
                 if not closing and name in RAW:
-                    at = _raw_end(source, at, name)
+                    start = at = _raw_end(source, at, name)
                 continue
         if closing:
             if counts.get(name):
@@ -139,62 +186,59 @@ def read(source: str | None) -> Page:
                 if name not in INLINE:
                     block += 1
                 pop_to(k)
-            elif name == "p" or name == "br":
-                block += name == "p"
+            elif name == "p":
+                block += 1
             continue
         if name in RAW:
-            at = _raw_end(source, at, name)
+            start = at = _raw_end(source, at, name)
             continue
         if name in SKIPPED:
-            if not m[3].endswith("/"):
+            if not attributes.endswith("/"):
                 skip = name
             continue
         if name in ("html", "body"):
-            masks[0] |= attribute_mask(m[3]) & ~HIDDEN_BIT
+            masks[0] |= attribute_mask(attributes) & ~HIDDEN_BIT
             continue
         if name in VOID:
-            if name in ("br", "wbr"):
-                if name == "br":
-                    runs.append((open_nodes[-1], block, " ", links > 0))
+            if name == "br":
+                runs.append((open_nodes[-1], block, " ", links > 0))
             elif name == "hr":
                 block += 1
             continue
-        if name in CLOSES_P and counts.get("p"):
-            k = len(open_names) - 1
-            while open_names[k] != "p" and open_names[k] not in P_SHIELDS:
-                k -= 1
-            if open_names[k] == "p":
-                pop_to(k)
-        if name in CLOSES_OWN:
-            ends, shields = CLOSES_OWN[name]
-            if any(counts.get(x) for x in ends):
-                k, found = len(open_names) - 1, 0
-                while k and open_names[k] not in shields:
-                    if open_names[k] in ends:
-                        found = k
-                    k -= 1
-                if found:
-                    pop_to(found)
+        if name in ROW and (found := ended(ROW[name])):
+            pop_to(found)
+        mask = attribute_mask(attributes)
         counts[name] = counts.get(name, 0) + 1
+        for row in ROWS_OF.get(name, ()):
+            marks[row].append(len(open_names))
+        open_names.append(name)
         if name in INLINE:
             links += name == "a"
-            open_names.append(name)
-            open_nodes.append(open_nodes[-1])
-            continue
-        block += 1
+            if not mask & HIDDEN_BIT:
+                open_nodes.append(open_nodes[-1])
+                continue
+        else:
+            block += 1
         parent = open_nodes[-1]
         tags.append(name)
         parents.append(parent)
         depths.append(depths[parent] + 1)
-        masks.append(attribute_mask(m[3]))
-        open_names.append(name)
+        masks.append(mask)
         open_nodes.append(len(tags) - 1)
     return page
 
 
 def _raw_end(source: str, at: int, name: str) -> int:
-    m = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE).search(source, at)
-    return m.end() if m else len(source)
+    m = re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE).search(source, at)
+    stop = source.find(">", m.end()) if m else -1
+    return stop + 1 or len(source)
+
+
+def decoded(text: str) -> str:
+    """Character references as their characters; numbers of any length are read."""
+    if "&#" in text:
+        text = TOO_LARGE.sub("\ufffd", ZEROS.sub("&#", text))
+    return html.unescape(text)
 
 
 def blocks(page: Page, kept: list[bool]) -> str:
@@ -212,5 +256,5 @@ def blocks(page: Page, kept: list[bool]) -> str:
         own.append(text)
     if own:
         out.append("".join(own))
-    lines = (WHITE.sub(" ", html.unescape(x)).strip() for x in out)
+    lines = (WHITE.sub(" ", decoded(x)).strip() for x in out)
     return "\n".join(x for x in lines if x)
