@@ -56,16 +56,16 @@ def _texts(n, seed):
     return [" ".join(x) for x in out]
 
 
-def test_depth_reaches_the_recall():
+def test_floor_reaches_the_recall():
     d = N.prefix_depth()
-    assert 1 - (1 - 0.8**d) ** N.TREES >= N.RECALL and 1 - (1 - 0.8 ** (d + 1)) ** N.TREES < N.RECALL
-    assert N.TREES * d <= N.SKETCH
+    assert (1 - 0.8**d) ** N.TREES <= N.MISS < (1 - 0.8 ** (d + 1)) ** N.TREES
+    assert N.HEAD < d <= N.FULL_DEPTH and N.SKETCH <= N.VALUES
 
 
 @pytest.mark.parametrize("small", [False, True])
 def test_classes_are_brute_force(spark, monkeypatch, small):
     if small:  # blocks of a few rows: every bucket and unit is split
-        for name in ("BUCKET_BLOCK", "UNIT_NODES"):
+        for name in ("DENSE", "UNIT_NODES"):
             monkeypatch.setattr(N, name, 2)
     rows = [row(i, t) for i, t in enumerate(_texts(60, 3))]
     got = {r.doc_id: r for r in N.class_rows(spark.createDataFrame(rows, DOC)).collect()}
@@ -105,4 +105,42 @@ def test_recall_with_the_sketch_reaches_the_target():
     same, bits = N.NUMERATOR / N.DENOMINATOR, N.SKETCH
     equal = (1 + same) / 2
     sketch = sum(math.comb(bits, k) * equal**k * (1 - equal) ** (bits - k) for k in range(N.MIN_EQUAL_BITS))
-    assert (1 - same ** N.prefix_depth()) ** N.TREES + sketch <= 1 - N.RECALL
+    assert N.MISS + sketch <= 1 - N.RECALL
+
+
+def _near(words, share, r):
+    """A text whose set has about the given similarity to that of ``words``."""
+    n = len(words) - N.SHINGLE + 1
+    changed = round((1 - share) / (1 + share) * n)  # shingles lost on either side
+    own = list(words)
+    for k in range(changed // N.SHINGLE):
+        own[(k * len(own)) // max(1, changed // N.SHINGLE) + r.randrange(2)] = f"new{r.random()}"
+    return own
+
+
+@pytest.mark.parametrize("dense", [2048, 24])
+def test_recall_near_the_threshold(spark, monkeypatch, dense):
+    """Pairs at a similarity of 0.80 to 0.85, all of which brute force finds, among texts that share boilerplate."""
+    monkeypatch.setattr(N, "DENSE", dense)
+    r = random.Random(8)
+    common = [f"b{i}" for i in range(60)]
+    rows, links = [], 0
+    while links < 2000:
+        base = [f"w{r.randrange(10**6)}" for _ in range(r.randint(140, 260))] + common
+        near = _near(base, r.uniform(0.8, 0.85), r)
+        a, b = (frozenset(tuple(x[k : k + 5]) for k in range(len(x) - 4)) for x in (base, near))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+            rows += [row(2 * links, " ".join(base)), row(2 * links + 1, " ".join(near))]
+            links += 1
+    got = N.class_rows(spark.createDataFrame(rows, DOC).repartition(4)).collect()
+    assert sum(x.n_links == 1 and x.class_id == x.doc_id // 2 * 2 for x in got) >= 0.9999 * len(got)
+
+
+def test_units_follow_a_chain(spark):
+    """A chain of near copies: every node stands in a few units, however long the chain is."""
+    r = random.Random(9)
+    words = [f"w{r.randrange(10**6)}" for _ in range(3 * 3000 + 120)]
+    nodes = N.describe(spark.createDataFrame([row(i, " ".join(words[3 * i : 3 * i + 120])) for i in range(3000)], DOC)).withColumnRenamed("row", "node")
+    groups = N.verification_groups(N.candidate_stars(nodes), nodes).selectExpr("node", "size(groups) AS n", "explode(groups.unit) AS unit")
+    assert groups.selectExpr("avg(n)").first()[0] < 12
+    assert groups.groupBy("unit").count().selectExpr("max(count)").first()[0] < 60

@@ -11,6 +11,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word: a run of code points other than ASCII space, tab, newline, vertical tab, form feed, carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -21,6 +22,9 @@ WORD = re.compile(WORD_PATTERN)
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 4096
 
+#: Copies of the side with one row a key in a salted join, and the bits of the largest broadcast filter.
+SALTS, MOST_BITS = 16, 1 << 24
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` below ``sf_dir``, through Spark's own reader (any Hadoop path)."""
@@ -70,6 +74,41 @@ def materialized(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def salted_join(rows: DataFrame, unique: DataFrame, keys: list[str], spread: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """``rows`` joined with ``unique`` (a row per key, repeated ``salts`` times), so that no key's rows meet in one task.
+
+    ``spread`` is the column of ``rows`` by which the rows of one key are dealt. For sides of a few numbers a row.
+    """
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    copies = unique.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [*keys, "__salt"], how).drop("__salt")
+
+
+def _field_bits(n: int) -> int:
+    return min(MOST_BITS, max(1 << 12, 1 << (16 * max(1, n) - 1).bit_length()))
+
+
+def bit_filter(hashes: DataFrame, column: str, n: int) -> DataFrame:
+    """Words of a bit field that holds ``column`` of ``hashes`` (about ``n`` values): 16 bits a value, ``MOST_BITS`` at most.
+
+    Rows ``(__word, __bits)``, at most ``MOST_BITS / 64`` of them, for broadcasting. With more values than that the field
+    fills up and tells less; what it lets through is always met exactly afterwards.
+    """
+    size = _field_bits(n)
+    at = F.pmod(F.col(column), F.lit(size))
+    bit = F.expr(f"shiftleft(1L, CAST(pmod(`{column}`, {size}L) % 64 AS INT))")
+    return hashes.select(F.floor(at / 64).alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+
+
+def may_hold(rows: DataFrame, column: str, words: DataFrame, n: int) -> DataFrame:
+    """``rows`` with ``__maybe``: false where the filter of ``n`` values surely does not hold ``column``."""
+    size = _field_bits(n)
+    marked = rows.withColumn("__word", F.floor(F.pmod(F.col(column), F.lit(size)) / 64))
+    met = marked.join(F.broadcast(words), "__word", "left")
+    bit = F.expr(f"(shiftrightunsigned(__bits, CAST(pmod(`{column}`, {size}L) % 64 AS INT)) & 1L) = 1L")
+    return met.withColumn("__maybe", F.coalesce(bit, F.lit(False))).drop("__word", "__bits")
+
+
 def ids_by_unit(lists: pa.ListArray, ids_of: Callable[[list[str]], list[tuple[int, ...]]], kind: type = np.uint32) -> tuple[np.ndarray, np.ndarray]:
     """Ids of texts given as lists of units, joined, and the number of ids of each text.
 
