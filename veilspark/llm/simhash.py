@@ -2,8 +2,8 @@
 
 Every word of a text votes with its own hash (weight 1) and with the hash of the pair it forms with the next word
 (weight 3); a bit of the fingerprint is set when the signed sum of its votes is positive. The votes of two bits share one
-64-bit sum, 32 bits each, so 64 sums give the 128 bits and the aggregation stays in generated code, partial before the
-shuffle: only one row of sums per text moves.
+64-bit sum, 32 bits each, so 64 sums give the 128 bits and the aggregation stays in generated code. Texts move once, into
+ranges of ids; all words of a text are then in one task, so its sums need no shuffle.
 
 Two fingerprints within a radius r differ in at most r of r + 2 blocks, so at least two blocks are equal: there is one
 table for each choice of two blocks, keyed by their bits, and a pair is reported by the first table in which it meets.
@@ -11,12 +11,14 @@ table for each choice of two blocks, keyed by their bits, and a pair is reported
 Native: DataFrame and SQL functions only.
 
 Defined results: a null text is empty; a text without words has the all-zero fingerprint; equal texts have equal
-fingerprints; rows with equal ids are ordered by their text; null ids come first; a single document is its own
-successor; an empty table gives no rows; columns other than id and text are never read.
+fingerprints; rows with equal ids are ordered by a hash of their text, so that they can be dealt over tasks; null ids
+come first; a single document is its own successor; an empty table gives no rows; ids are integers (a text that is no
+number raises); columns other than id and text are never read.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import combinations
 
@@ -24,13 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import WORD_PATTERN, materialized
+from veilspark.llm.common import WORD_PATTERN, materialized, salted_join
 
 WORDS_OF_64 = 2
 BITS = 64 * WORDS_OF_64
 WORD_WEIGHT, PAIR_WEIGHT = 1, 3
-#: Rows of one range of ids, and the most ranges; what is broadcast has one row of two numbers per range.
-RANGE_ROWS, MOST_RANGES = 1000, 100_000
+#: Characters of one range of ids, and the most ranges; what is collected or broadcast has a few numbers per range.
+RANGE_CHARS, MOST_RANGES = 1 << 24, 1 << 14
 LANES = 0x0000000100000001
 #: Hamming radius of the search, of 128 bits, and the ids whose documents are its queries: the multiples of this.
 RADIUS, ASKED = 6, 20
@@ -78,64 +80,90 @@ def likeness(a: str, b: str) -> Column:
     return 1 - sum((F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in range(WORDS_OF_64)), F.lit(0)) / F.lit(float(BITS))
 
 
-def with_next(rows: DataFrame, id_col: str, order: list[str], columns: list[str], prefix: str = "__next_") -> DataFrame:
-    """``rows`` with ``columns`` of the next row by ``id_col`` (ties by ``order``); the first follows the last.
+def by_ranges(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """Rows ``(doc_id, __text, __h0, __h1, __range)`` in the order of the ids, cut at their quantiles, and the number of ranges.
 
-    Rows are dealt into ranges of ids of about ``RANGE_ROWS`` rows, each a window of its own; the last row of a range
-    takes the first of the next range that has any. Ids crowded into few ranges cost time, not correctness.
+    Rows of one id that spans several ranges are cut by ``__h0``, which orders them, and so are those without an id.
+    Only the quantiles of the ids reach the driver, ``MOST_RANGES`` numbers at most.
     """
-    low, high, n = rows.agg(F.min(id_col), F.max(id_col), F.count(F.lit(1))).first()
-    width = 1 if low is None else min(2**63 - 1, max(1, (int(high) - int(low) + 1) // max(1, n // max(RANGE_ROWS, n // MOST_RANGES))))
-    # Integer division rounds towards zero, which keeps the order; a null id has a range below all others.
-    place = F.coalesce(F.expr(f"`{id_col}` div {width}L"), F.lit(-(2**63)))
-    dealt = rows.withColumn("__range", place)
-    firsts = dealt.groupBy("__range").agg(F.min(id_col).alias("__first"))
-    every = W.orderBy("__range")  # one row per range, at most MOST_RANGES of them
+    ids = F.col(id_col).cast("long")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    n, blank, chars = docs.agg(F.count(F.lit(1)), F.count_if(ids.isNull()), F.sum(F.length(text))).first()
+    ranges = max(1, min(MOST_RANGES, -(-(chars or 0) // RANGE_CHARS), n))
+    steps = [k / ranges for k in range(1, ranges)]
+    bounds = docs.agg(F.percentile_approx(ids, steps, F.lit(20 * ranges))).first()[0] if steps else []
+    hashed = docs.select(ids.alias("doc_id"), text.alias("__text")).withColumns({"__h0": F.shiftrightunsigned(F.xxhash64("__text"), 1), "__h1": F.xxhash64(F.lit(1), "__text")})
+    share = F.col("__h0").cast("double") / F.lit(2.0**63)
+    nulls = max(1, math.ceil(ranges * blank / max(1, n)))
+    apart = F.least(F.floor(share * nulls), F.lit(nulls - 1)) - nulls
+    if not bounds:
+        place = F.lit(0).cast("long")
+    else:
+        known = F.array(*map(F.lit, bounds))
+        halves = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
+
+        def passed(equal: bool) -> Column:
+            """How many bounds are below the id (or equal to it), by halving."""
+
+            def step(at: Column, by: Column) -> Column:
+                bound = F.get(known, at + by - 1)
+                return F.when((bound <= F.col("doc_id")) if equal else (bound < F.col("doc_id")), at + by).otherwise(at)
+
+            return F.aggregate(halves, F.lit(0), step)
+
+        low, many = passed(False), passed(True) - passed(False)
+        place = low + F.least(F.floor(share * (many + 1)), many)
+    return hashed.withColumn("__range", F.when(F.col("doc_id").isNull(), apart).otherwise(place).cast("int")), ranges + nulls
+
+
+def range_heads(ranged: DataFrame) -> DataFrame:
+    """A row for each range that has rows: ``__of``, the range before it (the last for the first), and its first row's keys."""
+    order = ["doc_id", "__h0", "__h1"]
+    firsts = ranged.groupBy("__range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), *order)).alias("f"))
+    every = W.orderBy("__range")  # one row per range, at most twice MOST_RANGES of them
     whole = every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    firsts = firsts.select(
-        F.lag("__range").over(every).alias("__before"), F.max("__range").over(whole).alias("__last"), F.col("__range").alias("__of"), "__first"
-    ).select(F.coalesce("__before", "__last").alias("__before"), "__of", "__first")
-    entry = F.struct(*(F.col(c).alias(f"__by{k}") for k, c in enumerate(order)), *(F.col(c) for c in columns))
-    heads = (
-        dealt.join(F.broadcast(firsts), (F.col("__range") == F.col("__of")) & F.col(id_col).eqNullSafe(F.col("__first")))
-        .groupBy("__before")
-        .agg(F.min(entry).alias("__head"))
-    )
-    own = W.partitionBy("__range").orderBy(F.col(id_col).asc_nulls_first(), *order)
-    led = dealt.withColumn("__lead", F.lead(F.struct(*(F.col(c) for c in columns))).over(own)).withColumn("__is_last", F.lead(F.lit(1)).over(own).isNull())
-    joined = led.join(heads, F.col("__range") == F.col("__before"), "left")
-    picked = [F.when(F.col("__is_last"), F.col(f"__head.{c}")).otherwise(F.col(f"__lead.{c}")).alias(f"{prefix}{c}") for c in columns]
-    return joined.select(*rows.columns, *picked)
+    before = F.coalesce(F.lag("__range").over(every), F.max("__range").over(whole))
+    return firsts.select(before.alias("__before"), F.col("__range").alias("__of"), *(F.col(f"f.{c}").alias(f"__first{c}") for c in order))
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: fingerprints of its text and of its edited text, and how alike they and the next document's are.
 
     ``near_docs`` is for every ``ASKED``-th id the number of other documents, all of them searched by the block tables,
-    whose fingerprint is within ``RADIUS`` bits; null for other documents. The edited text replaces the last quarter of the code points by as many of the next document's first ones.
+    whose fingerprint is within ``RADIUS`` bits; null for other documents. The edited text replaces the last quarter of the
+    code points by as many of the next document's first ones.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    led = with_next(rows, "doc_id", ["__text"], ["__text"], "__next")
+    ranged, ranges = by_ranges(docs, id_col, text_col)
+    heads = materialized(range_heads(ranged), "heads")
+    # The first text of each range goes to the last row of the range before.
+    same = F.col("doc_id").eqNullSafe(F.col("__firstdoc_id")) & (F.col("__h0") == F.col("__first__h0")) & (F.col("__h1") == F.col("__first__h1"))
+    first_texts = ranged.join(F.broadcast(heads), (F.col("__range") == F.col("__of")) & same).groupBy("__before").agg(F.min("__text").alias("__head"))
+    own = W.partitionBy("__range").orderBy(F.col("doc_id").asc_nulls_first(), "__h0", "__h1")
+    dealt = ranged.repartition(ranges, "__range")
+    led = dealt.select("__range", "doc_id", "__text", F.lead("__text").over(own).alias("__lead"), F.row_number().over(own).alias("__nth"))
+    led = led.join(first_texts, F.col("__range") == F.col("__before"), "left")
     n = F.length("__text")
     quarter = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring("__text", F.lit(1), n - quarter), F.substring("__next__text", F.lit(1), quarter))
-    both = led.select(
-        F.monotonically_increasing_id().alias("__row"), "doc_id", n.cast("long").alias("n_chars"), "__text", edited.alias("__edited")
-    ).withColumn("__sha", F.sha2("__edited", 256))
-    # One row per text and kind; the number of the row tells repeated rows apart.
-    own = ["__row", "doc_id", "n_chars", "__sha"]
-    kinds = both.select(*own, F.inline(F.array(F.struct(F.lit(0).alias("__kind"), F.col("__text").alias("__t")), F.struct(F.lit(1).alias("__kind"), F.col("__edited").alias("__t")))).alias("__kind", "__t"))
-    prints = simhash(kinds, [*own, "__kind"], "__t")
-    pairs = prints.groupBy(*own).agg(
+    edited = F.concat(F.substring("__text", F.lit(1), n - quarter), F.substring(F.coalesce("__lead", "__head"), F.lit(1), quarter))
+    both = led.select("__range", "__nth", "doc_id", n.cast("long").alias("n_chars"), "__text", edited.alias("__edited")).withColumn("__sha", F.sha2("__edited", 256))
+    # One row per text and kind; the place in its range tells repeated rows apart.
+    keys = ["__range", "__nth", "doc_id", "n_chars", "__sha"]
+    kinds = both.select(*keys, F.inline(F.array(F.struct(F.lit(0).alias("__kind"), F.col("__text").alias("__t")), F.struct(F.lit(1).alias("__kind"), F.col("__edited").alias("__t")))).alias("__kind", "__t"))
+    prints = simhash(kinds, [*keys, "__kind"], "__t")
+    pairs = prints.groupBy(*keys).agg(
         *(F.max(F.when(F.col("__kind") == kind, F.col(f"__fp{k}"))).alias(f"{name}{k}") for kind, name in ((0, "__own"), (1, "__edit")) for k in range(WORDS_OF_64))
     )
     pairs = materialized(pairs, "fingerprints")
     numbers = [f"__own{k}" for k in range(WORDS_OF_64)]
-    # Equal ids are in the order of their texts only up to their fingerprints here; the row number keeps that order.
-    followed = with_next(pairs, "doc_id", ["__row"], numbers, "__next")
-    followed = followed.select("*", *(F.col(f"__next__own{k}").alias(f"__following{k}") for k in range(WORDS_OF_64)))
-    found = near_counts(pairs, numbers, F.col("doc_id") % ASKED == 0)
-    followed = followed.join(found, numbers, "left").withColumn("near_docs", F.when(F.col("doc_id") % ASKED == 0, F.col("near_docs")))
+    after = F.struct(*numbers)
+    first_prints = pairs.where("__nth = 1").select("__range", after.alias("__head")).join(F.broadcast(heads.select("__before", F.col("__of").alias("__range"))), "__range").drop("__range")
+    followed = pairs.withColumn("__lead", F.lead(after).over(W.partitionBy("__range").orderBy("__nth")))
+    followed = followed.join(F.broadcast(first_prints), F.col("__range") == F.col("__before"), "left").withColumn("__next", F.coalesce("__lead", "__head"))
+    followed = followed.select("*", *(F.col(f"__next.__own{k}").alias(f"__following{k}") for k in range(WORDS_OF_64)))
+    asked = F.col("doc_id") % ASKED == 0
+    found = near_counts(pairs, numbers, asked)
+    spread = followed.withColumn("__place", F.struct("__range", "__nth"))
+    followed = salted_join(spread, found, numbers, "__place", "left").withColumn("near_docs", F.when(asked, F.col("near_docs")))
     return followed.select(
         "doc_id", "n_chars", F.col("__sha").alias("edited_sha256"), as_text("__own").alias("fingerprint"), as_text("__edit").alias("edited_fingerprint"),
         likeness("__own", "__edit").alias("near_edited"), likeness("__own", "__following").alias("near_next"), "near_docs",
@@ -169,12 +197,14 @@ def block_tables(prints: DataFrame, names: list[str], radius: int = RADIUS) -> D
 def near(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """All pairs of a query's and another distinct fingerprint within the radius.
 
-    Both inputs have columns ``__fp0`` and ``__fp1``; they are made distinct first, so copies never meet each other.
-    Returns ``q0, q1, f0, f1, distance``; fingerprints equal to the query are included with distance 0.
+    Both inputs have columns ``__fp0`` and ``__fp1`` and are counted first, so copies never meet each other.
+    Returns ``q0, q1, f0, f1, n, distance``, ``n`` the rows of ``prints`` with that fingerprint; fingerprints equal to the
+    query are included with distance 0.
     """
     n = radius + 2
     q = block_tables(queries.select(F.col("__fp0").alias("q0"), F.col("__fp1").alias("q1")).distinct(), ["q0", "q1"], radius).withColumnRenamed("__table", "__qt")
-    f = block_tables(prints.select(F.col("__fp0").alias("f0"), F.col("__fp1").alias("f1")).distinct(), ["f0", "f1"], radius)
+    counted = prints.groupBy(F.col("__fp0").alias("f0"), F.col("__fp1").alias("f1")).agg(F.count(F.lit(1)).alias("n"))
+    f = block_tables(counted, ["f0", "f1"], radius)
     odd = [F.col(f"q{k}").bitwiseXOR(F.col(f"f{k}")) for k in range(WORDS_OF_64)]
     distance = sum((F.bit_count(x) for x in odd), F.lit(0))
     same = [reduce(lambda a, b: a & b, (x == 0 for x in _block(odd, k, n))) for k in range(n)]
@@ -184,13 +214,12 @@ def near(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFra
     for t in reversed(range(len(tables))):
         first = F.when(same[tables[t][0]] & same[tables[t][1]], F.lit(t)).otherwise(first)
     met = q.join(f, (q["__key"] == f["__key"]) & (F.col("__qt") == F.col("__table")) & (distance <= radius) & (first == F.col("__table")))
-    return met.select("q0", "q1", "f0", "f1", distance.cast("int").alias("distance"))
+    return met.select("q0", "q1", "f0", "f1", "n", distance.cast("int").alias("distance"))
 
 
 def near_counts(rows: DataFrame, names: list[str], asked: Column, radius: int = RADIUS) -> DataFrame:
     """Columns ``names`` (distinct) and ``near_docs``: for the rows that are ``asked``, other rows within the radius."""
-    counted = rows.groupBy(*(F.col(x).alias(f"f{k}") for k, x in enumerate(names))).agg(F.count(F.lit(1)).alias("__n"))
     as_print = [F.col(x).alias(f"__fp{k}") for k, x in enumerate(names)]
-    met = near(rows.where(asked).select(*as_print), counted.select(F.col("f0").alias("__fp0"), F.col("f1").alias("__fp1")), radius)
-    sums = met.join(counted, ["f0", "f1"]).groupBy("q0", "q1").agg((F.sum("__n") - 1).alias("near_docs"))
+    met = near(rows.where(asked).select(*as_print), rows.select(*as_print), radius)
+    sums = met.groupBy("q0", "q1").agg((F.sum("n") - 1).alias("near_docs"))
     return sums.select(*(F.col(f"q{k}").alias(x) for k, x in enumerate(names)), "near_docs")
