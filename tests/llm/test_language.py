@@ -1,4 +1,6 @@
+import math
 import os
+import unicodedata
 import zlib
 
 import pytest
@@ -40,3 +42,63 @@ def test_held_out_accuracy(spark):
     rows = language.predict_documents(docs, language.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
     assert sum(r.lang == r.lang_pred for r in rows) / len(rows) >= 0.98
     assert sum(r.accepted for r in rows) / len(rows) >= 0.99
+    assert language.keep_known(docs, language.fit(docs)).count() >= 0.99 * docs.where("text is not null").count()
+
+
+#: Program code, data, and languages that the tables do not hold.
+FOREIGN = {
+    "code": 'def main(argv):\n    for i in range(len(argv)):\n        if argv[i].startswith("--"):\n            opts[argv[i][2:]] = True\n    return [x for x in os.listdir(path) if x.endswith(".py")]\n' * 5,
+    "braces": "public static void main(String[] args) { for (int i = 0; i < args.length; i++) { System.out.println(args[i]); } }\n" * 6,
+    "data": '{"id": 123, "name": "xyz", "values": [1, 2, 3], "flag": true}' * 10,
+    "polish": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem. " * 3,
+    "finnish": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto. " * 3,
+    "russian": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью. " * 3,
+    "chinese": "人人生而自由，在尊严和权利上一律平等。" * 10, "base64": "dGhlIHF1aWNrIGJyb3duIGZveCBqdW1wcyBvdmVyIHRoZSBsYXp5IGRvZw" * 6,
+    "consonants": " ".join("".join("qwrtzpsdfghjklxcvbnm"[(i * 7 + k * k) % 20] for k in range(7)) for i in range(80)),
+}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_other_texts_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.fit(docs)
+    rows = [(i, x, "en", "s", len(x)) for i, x in enumerate(FOREIGN.values())]
+    foreign = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert language.keep_known(foreign, model).count() == 0
+    assert all(r.lang_pred in model.languages and not r.accepted for r in language.predict_documents(foreign, model).collect())
+
+
+def naive(model, text):
+    """The prediction with one subword at a time."""
+    if text is None or not model.languages or not any(unicodedata.category(c)[0] == "L" for c in text):
+        return "und", 0.0
+    kept = "".join(c if "a" <= c <= "z" or not c.isascii() and not language.NO_LETTERS.fullmatch(c) else " " for c in text.lower())
+    data = f" {' '.join(kept.split())} ".encode()
+    total, n = [0.0] * len(model.languages), 0
+    for order in language.ORDERS:
+        for i in range(len(data) - order + 1):
+            h = (0x811C9DC5 + order) & 0xFFFFFFFF
+            for k in range(order):
+                h = ((h ^ data[i + k]) * int(language._FACTORS[k])) & 0xFFFFFFFF
+                h ^= h >> 15
+            for c in range(len(model.languages)):
+                total[c] += float(model.table[c][h % language.BUCKETS])
+            n += 1
+    z = [t / max(1, n) + b for t, b in zip(total, model.bias, strict=True)]
+    e = [math.exp(x - max(z)) for x in z]
+    return model.languages[e.index(max(e))], max(e) / sum(e)
+
+
+def test_prediction_is_brute_force():
+    r = language.np.random.default_rng(2)
+    model = language.LanguageModel(("a", "b", "c"), r.normal(size=(3, language.BUCKETS)).astype("float32"), r.normal(size=3), 0.0)
+    texts = [None, "", "½ 123", "² ① ৴", "one", "É È, ü!", "x" * 300, "日本語 text—with “quotes”", " a  b\n\tc ", "İstanbul ǅ", "99 bottles", MESSY[0][1]]
+    for text in texts:
+        expected = naive(model, text)
+        assert model.predict(text) == (expected[0], pytest.approx(expected[1], abs=1e-5))
+
+
+@pytest.mark.parametrize("text", ["½ 123", "² ① ৴", "١٢٣", "_ 1_2", "—…!", "", None])
+def test_texts_without_a_letter(text):
+    model = language.LanguageModel(("a",), language.np.zeros((1, language.BUCKETS), "float32"), language.np.zeros(1), 0.0)
+    assert model.predict(text) == ("und", 0.0) and not model.accepts(model.judge(text))
