@@ -62,13 +62,13 @@ def check(got, rows):
 
 def test_messy(spark, messy, none, monkeypatch):
     check(simhash.fingerprint_edits(messy).collect(), MESSY)
-    monkeypatch.setattr(simhash, "RANGE_CHARS", 1000)
+    monkeypatch.setattr(simhash, "TASK_CHARS", 1000)
     check(simhash.fingerprint_edits(messy).collect(), MESSY)
     assert simhash.fingerprint_edits(none).count() == 0
 
 
 def test_many_ranges(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "RANGE_CHARS", 50)
+    monkeypatch.setattr(simhash, "TASK_CHARS", 50)
     r = random.Random(2)
     ids = r.sample(range(-(10**12), 10**12), 40) + list(range(50)) + [2**62, -(2**62)]
     rows = [row(i, f"é{'x y ' * (k % 9)}{i}") for k, i in enumerate(ids)]
@@ -83,13 +83,13 @@ def test_many_ranges(spark, monkeypatch):
 
 def test_one_outlier_and_one_hot_id(spark, monkeypatch):
     """Ids are cut at their quantiles, and rows of one id or of none by a hash: no range is much larger than others."""
-    monkeypatch.setattr(simhash, "RANGE_CHARS", 20_000)
+    monkeypatch.setattr(simhash, "TASK_CHARS", 200_000)
     n, hot = 100_000, 30_000
     ids = F.when(F.col("id") == 0, F.lit(2**62)).when(F.col("id") < hot, F.lit(77)).when(F.col("id") < 2 * hot, F.lit(None)).otherwise(F.col("id"))
     docs = spark.range(n).select(ids.cast("long").alias("doc_id"), F.concat(F.lit("text of a row "), "id").alias("text"))
-    ranged, ranges = simhash.by_ranges(docs, "doc_id", "text")
+    ranged, tasks = simhash.by_ranges(docs, "doc_id", "text")
     sizes = sorted(r["count"] for r in ranged.groupBy("__range").count().collect())
-    assert 50 < len(sizes) <= ranges and sizes[-1] <= 3 * sizes[len(sizes) // 2] and sum(sizes) == n
+    assert 50 < len(sizes) and sizes[-1] <= 3 * sizes[len(sizes) // 2] and sum(sizes) == n
     spans = ranged.groupBy("__range").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a is not null").orderBy("__range").collect()
     assert all(x.b <= y.a for x, y in zip(spans, spans[1:], strict=False))
 

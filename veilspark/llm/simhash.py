@@ -31,8 +31,9 @@ from veilspark.llm.common import WORD_PATTERN, materialized, salted_join
 WORDS_OF_64 = 2
 BITS = 64 * WORDS_OF_64
 WORD_WEIGHT, PAIR_WEIGHT = 1, 3
-#: Characters of one range of ids, and the most ranges; what is collected or broadcast has a few numbers per range.
-RANGE_CHARS, MOST_RANGES = 1 << 24, 1 << 14
+#: Characters of one task, ranges of ids that a task takes so that tasks come out even, and the most ranges; what is
+#: collected or broadcast has a few numbers per range.
+TASK_CHARS, TASK_RANGES, MOST_RANGES = 1 << 24, 8, 1 << 14
 LANES = 0x0000000100000001
 #: Hamming radius of the search, of 128 bits, and the ids whose documents are its queries: the multiples of this.
 RADIUS, ASKED = 6, 20
@@ -81,7 +82,7 @@ def likeness(a: str, b: str) -> Column:
 
 
 def by_ranges(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """Rows ``(doc_id, __text, __h0, __h1, __range)`` in the order of the ids, cut at their quantiles, and the number of ranges.
+    """Rows ``(doc_id, __text, __h0, __h1, __range)`` in the order of the ids, cut at their quantiles, and the number of tasks.
 
     Rows of one id that spans several ranges are cut by ``__h0``, which orders them, and so are those without an id.
     Only the quantiles of the ids reach the driver, ``MOST_RANGES`` numbers at most.
@@ -89,7 +90,8 @@ def by_ranges(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, i
     ids = F.col(id_col).cast("long")
     text = F.coalesce(F.col(text_col), F.lit(""))
     n, blank, chars = docs.agg(F.count(F.lit(1)), F.count_if(ids.isNull()), F.sum(F.length(text))).first()
-    ranges = max(1, min(MOST_RANGES, -(-(chars or 0) // RANGE_CHARS), n))
+    tasks = max(-(-(chars or 0) // TASK_CHARS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = max(1, min(MOST_RANGES, TASK_RANGES * tasks, n))
     steps = [k / ranges for k in range(1, ranges)]
     bounds = docs.agg(F.percentile_approx(ids, steps, F.lit(20 * ranges))).first()[0] if steps else []
     hashed = docs.select(ids.alias("doc_id"), text.alias("__text")).withColumns({"__h0": F.shiftrightunsigned(F.xxhash64("__text"), 1), "__h1": F.xxhash64(F.lit(1), "__text")})
@@ -113,7 +115,7 @@ def by_ranges(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, i
 
         low, many = passed(False), passed(True) - passed(False)
         place = low + F.least(F.floor(share * (many + 1)), many)
-    return hashed.withColumn("__range", F.when(F.col("doc_id").isNull(), apart).otherwise(place).cast("int")), ranges + nulls
+    return hashed.withColumn("__range", F.when(F.col("doc_id").isNull(), apart).otherwise(place).cast("int")), tasks
 
 
 def range_heads(ranged: DataFrame) -> DataFrame:
@@ -133,13 +135,13 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     whose fingerprint is within ``RADIUS`` bits; null for other documents. The edited text replaces the last quarter of the
     code points by as many of the next document's first ones.
     """
-    ranged, ranges = by_ranges(docs, id_col, text_col)
+    ranged, tasks = by_ranges(docs, id_col, text_col)
     heads = materialized(range_heads(ranged), "heads")
     # The first text of each range goes to the last row of the range before.
     same = F.col("doc_id").eqNullSafe(F.col("__firstdoc_id")) & (F.col("__h0") == F.col("__first__h0")) & (F.col("__h1") == F.col("__first__h1"))
     first_texts = ranged.join(F.broadcast(heads), (F.col("__range") == F.col("__of")) & same).groupBy("__before").agg(F.min("__text").alias("__head"))
     own = W.partitionBy("__range").orderBy(F.col("doc_id").asc_nulls_first(), "__h0", "__h1")
-    dealt = ranged.repartition(ranges, "__range")
+    dealt = ranged.repartition(tasks, "__range")
     led = dealt.select("__range", "doc_id", "__text", F.lead("__text").over(own).alias("__lead"), F.row_number().over(own).alias("__nth"))
     led = led.join(first_texts, F.col("__range") == F.col("__before"), "left")
     n = F.length("__text")
