@@ -32,6 +32,8 @@ def test_base_is_brute_force():
     [
         ("An ordinary line of text ends here.", None), ("Home | About | Contact | Help", "navigation"), ("word### other%%% third$$$", "punctuation"),
         ("BUY NOW!! CHEAP!! HURRY!!", "punctuation"), ("LOUD WORDS ONLY IN THIS LINE", "punctuation"), ("All rights reserved.", "boilerplate"), ("go " * 30, "boilerplate"),
+        ("LOUD Words MOSTLY IN THIS LINE HERE.", "punctuation"), ("LOUD words here and THERE, not more.", None), ("Home About Contact Help Login", "navigation"), ("Home About Contact Help, Team", None), ("Three Titled Words", None),
+        ("a line that runs on and on with no end", "punctuation"), ("a line that runs on and on to its end:", None), ("Is it the end? said somebody who was still there", None), ("a heading of seven words stands here", None), ("he said “it is over and done with now.”", None),
     ],
 )
 def test_line_rules(line, family):

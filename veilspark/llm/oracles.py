@@ -14,12 +14,15 @@ WITH l AS (
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL)),
 r AS (
   SELECT *, len(w) AS n, len(list_filter(w, lambda x: x IN ({_SEPARATORS}))) AS sep, len(regexp_extract_all(line, '[#*$%&|<>]')) AS sym,
+         len(list_filter(w, lambda x: upper(x) = x AND lower(x) <> x)) AS loud, len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z]'))) AS titled,
          len(list_filter(w, lambda x: regexp_matches(x, '(?:!!|\?\?|!\?|\?!)[^\s]*$'))) AS shout, len(list_distinct(w)) AS different,
          row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS again
   FROM l WHERE len(w) > 0),
 f AS (
   SELECT *, (sep >= 2 AND sep >= {_C.min_separator_share}::DOUBLE * n) OR sym > {_C.max_symbols_per_word}::DOUBLE * n OR shout > {_C.max_shout_share}::DOUBLE * n
-         OR (n >= {_C.upper_min_words} AND upper(line) = line AND lower(line) <> line) OR (n >= {_C.repeat_min_words} AND different < {_C.min_distinct_share}::DOUBLE * n)
+         OR (n >= {_C.upper_min_words} AND loud > {_C.max_upper_share}::DOUBLE * n)
+         OR (n >= {_C.menu_min_words} AND NOT regexp_matches(line, '[.!?;:,]') AND titled >= {_C.min_menu_share}::DOUBLE * n)
+         OR (n >= {_C.open_min_words} AND NOT regexp_matches(line, '[.!?…]') AND NOT regexp_matches(line, '[.!?:;…]["''”’»)\]]*\s*$')) OR (n >= {_C.repeat_min_words} AND different < {_C.min_distinct_share}::DOUBLE * n)
          OR (n <= {_C.boilerplate_max_words} AND regexp_matches(line, '(?i){BOILERPLATE.pattern}')) AS failed
   FROM r),
 d AS (

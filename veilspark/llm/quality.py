@@ -1,7 +1,8 @@
 """Quality rules: line-first cleaning.
 
-Every line of a text is judged on its own by three families of rules (punctuation, navigation, boilerplate); failing
-lines are removed; a document that loses too much of its text, or that fails the document rules, is rejected.
+Every line of a text is judged on its own by three families of rules: punctuation (signs for words, shouting, upper
+case, no sentence's end), navigation (separators, menus of titles), boilerplate (phrases, repetition). Failing lines are
+removed; a document that loses too much of its text, or that fails the document rules, is rejected.
 
 Defined results: a null text has no words and is rejected; an empty text likewise; a line without a word never fails
 and is never counted; repeated rows are judged alike, each on its own; extra columns pass through ``clean`` untouched.
@@ -22,7 +23,8 @@ from veilspark.llm.common import WORD, bound_batches, map_rows
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 SEPARATORS = frozenset(("|", "»", "«", "›", "‹", "·", "•", "::", "/", "-", "–", "—", ">", "<"))
-LETTER = re.compile(r"[^\W\d_]")
+#: A sentence's end at the end of a line, with closing signs; one anywhere; a word of a menu; what a menu does not hold.
+LINE_END, SENTENCE, TITLED, INNER = re.compile(r"[.!?:;…][\"'”’»)\]]*\s*$"), re.compile(r"[.!?…]"), re.compile(r"[A-Z]"), re.compile(r"[.!?;:,]")
 SHOUT_END = re.compile(r"(?:!!|\?\?|!\?|\?!)\S*$")
 #: Fixed phrases of page furniture.
 BOILERPLATE = re.compile(
@@ -43,9 +45,14 @@ class QualityConfig:
     max_symbols_per_word: float = 0.5
     #: A line fails when more than this share of its words end in doubled exclamation or question marks.
     max_shout_share: float = 0.3
-    #: Not applied: a line of at least ``upper_min_words`` words fails only when all its letters are upper case, as OP1_SQL has it.
+    #: A line of at least ``upper_min_words`` words fails when more than this share of them is upper case.
     max_upper_share: float = 0.7
     upper_min_words: int = 5
+    #: A line of at least so many words fails when it holds no sentence's end and does not end in a sign.
+    open_min_words: int = 8
+    #: A line of at least so many words, this share of them with a capital first and no sign among them, fails as a menu.
+    menu_min_words: int = 5
+    min_menu_share: float = 0.9
     #: A line fails as navigation with at least this share of separator tokens.
     min_separator_share: float = 0.2
     #: A line of at least ``repeat_min_words`` words fails when fewer than this share of them are distinct.
@@ -67,12 +74,16 @@ def line_fails(words: list[str], line: str, c: QualityConfig) -> str | None:
         return "punctuation"
     if ("!!" in line or "?" in line or "!?" in line) and sum(bool(SHOUT_END.search(w)) for w in words) > c.max_shout_share * n:
         return "punctuation"
-    if n >= c.upper_min_words and line.upper() == line and line.lower() != line:
+    if n >= c.upper_min_words and line.lower() != line and sum(w.upper() == w and w.lower() != w for w in words) > c.max_upper_share * n:
         return "punctuation"
+    if n >= c.menu_min_words and not INNER.search(line) and sum(bool(TITLED.match(w)) for w in words) >= c.min_menu_share * n:
+        return "navigation"
     if n >= c.repeat_min_words and len(set(words)) < c.min_distinct_share * n:
         return "boilerplate"
     if n <= c.boilerplate_max_words and BOILERPLATE.search(line):
         return "boilerplate"
+    if n >= c.open_min_words and not SENTENCE.search(line) and not LINE_END.search(line):
+        return "punctuation"
     return None
 
 
