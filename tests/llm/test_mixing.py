@@ -65,6 +65,22 @@ def test_reruns_agree(spark, messy):
     assert one == sorted(map(str, mixing.plan_mix(messy.repartition(7)).collect()))
 
 
+def test_mixes_agree_with_repeated_and_null_ids(spark):
+    """The texts that a mix takes are the same however the rows are dealt."""
+    rows = [row(i % 7 or None, f"text {i % 90} of source " + "w " * (i % 13), source="ab"[i % 9 > 0], lang=str(i % 4)) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOC)
+    one = Counter(map(str, mixing.mix(docs).collect()))
+    assert len(one) < sum(one.values())
+    for parts in (1, 5, 13):
+        assert one == Counter(map(str, mixing.mix(docs.orderBy("n_chars").repartition(parts)).collect()))
+
+
+def test_rows_of_one_id_fall_in_many_ranges(spark):
+    rows = [row(None if i % 2 else 5, f"text {i}") for i in range(600)]
+    planned = mixing.plan_mix(spark.createDataFrame(rows, DOC), weights=(1.0,))
+    assert planned.count() == 600 and {r.repeats for r in planned.collect()} == {1}
+
+
 def test_many_sources_meet_by_salted_keys(spark, messy, monkeypatch):
     few = sorted(map(str, mixing.plan_mix(messy).collect()))
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)

@@ -6,14 +6,16 @@ cap / weight, the first ``k`` are clamped, where ``k`` is the least count for wh
 ``(total - caps of the first k) / weights of the others``.
 
 A source's rate is target / size: every document is taken floor(rate) times, and the documents that come first by a
-seeded digest of their id are taken once more, until the fraction of the source's words is met to half a document. The
-digests are summed in 65,536 ranges by map-side aggregation, so only the one range where a source's cut falls is ordered.
+seeded digest of their id and text are taken once more, until the fraction of the source's words is met to half a
+document. The digests are summed in 65,536 ranges by map-side aggregation, so only the one range where a source's cut
+falls is ordered. Repeated or null ids have digests of their own where their texts differ.
 
 Native: DataFrame and SQL functions only.
 
 Defined results: a null text has no words; the null source is the last source; documents without words are taken
-floor(rate) or floor(rate) + 1 times like others but add no words; repeated ids are ordered by size, then text; when no
-document has a word every target is 0; an empty table gives no rows; other columns pass through ``mix`` untouched.
+floor(rate) or floor(rate) + 1 times like others but add no words; rows of equal id and text are ordered by a hash of all
+columns in ``mix``, so that reruns agree, and are alike in ``plan_mix``; when no document has a word every target is 0; an
+empty table gives no rows; other columns pass through ``mix`` untouched.
 """
 
 from __future__ import annotations
@@ -64,11 +66,13 @@ def weigh(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = SEED, max_epochs: float = MAX_EPOCHS, weights: tuple[float, ...] = WEIGHTS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs``: doc_id, source, size, source_size, target, repeats, and the columns of ``keep``."""
-    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    kept = F.struct(*(F.col(c) for c in quoted(list(keep)))) if keep else F.lit(None)
     rows = docs.select(
-        F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), n_words(F.col(text_col)).alias("__size"), digest.alias("__digest"),
-        F.struct(*(F.col(c) for c in quoted(list(keep)))).alias("__kept") if keep else F.lit(None).alias("__kept"),
+        F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), n_words(F.col(text_col)).alias("__size"), digest.alias("__digest"), kept.alias("__kept"),
     ).withColumn("__range", F.substring("__digest", 1, RANGE_DIGITS))
+    if not keep:  # a few numbers a row, written so that texts are read once
+        rows = materialized(rows.drop("__kept"), "sizes").withColumn("__kept", F.lit(None))
     # At most 65,536 rows per source, summed before the shuffle and written once: all that follows but the last pass reads them.
     ranges = materialized(rows.groupBy("__source", "__range").agg(F.sum("__size").alias("__words")), "ranges")
     sums = ranges.groupBy("__source").agg(F.sum("__words").cast("double").alias("source_size"))
@@ -90,7 +94,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     at = F.col("__at")
     inside = at.isNotNull() & (F.col("__range") == at)
     outer = joined.where(~inside).withColumn("__more", F.when(at.isNull() | (F.col("__range") < at), 1).otherwise(0))
-    order = W.partitionBy("__source").orderBy("__digest", F.col("__id").asc_nulls_first(), "__size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    order = W.partitionBy("__source").orderBy("__digest", *([F.xxhash64("__kept")] if keep else [])).rowsBetween(W.unboundedPreceding, W.currentRow)
     middle = F.col("__before") + F.sum("__size").over(order) - F.col("__size") / 2
     inner = joined.where(inside).withColumn("__more", F.when(middle < F.col("__extra"), 1).otherwise(0))
     repeats = F.least(F.col("__whole") + F.col("__more"), F.lit(int(max_epochs))).cast("long")

@@ -43,7 +43,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size,
-         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS digest
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS digest
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, 1.0::DOUBLE + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM s),
@@ -55,7 +55,7 @@ c AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY rk ROWS BETWEEN UNBOUNDED PRECE
 l AS (SELECT *, (total - caps) / weights AS lv FROM c),
 t AS (SELECT source, source_size, least(cap, (SELECT arg_min(lv, rk) FROM l WHERE fill >= lv) * weight) AS target FROM l),
 x AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS whole,
-             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.digest, d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING) - d.size / 2 AS middle
+             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.digest ROWS UNBOUNDED PRECEDING) - d.size / 2 AS middle
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
        CAST(size * least(whole + CASE WHEN middle < target - whole * source_size THEN 1 ELSE 0 END, 3) AS BIGINT) AS taken
