@@ -48,7 +48,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sentence_pieces", sentence_pieces),
 ]
 
-#: A trained classifier and MinHash stand between input and result: no SQL says the same. The tests hold a brute-force run.
+#: A trained classifier and MinHash stand between input and result: no SQL says the same. ``tests/llm/test_pipeline.py`` holds a run in
+#: plain Python, stage after stage.
 ORACLE_SQL = None
 
 

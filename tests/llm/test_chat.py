@@ -43,7 +43,9 @@ def test_parts_of_a_large_conversation(spark, monkeypatch):
     rows = [(c, i, "assistant" if i % 2 else "user", f"text {i} é" * 5, "x") for c in (1, 2) for i in range(100)]
     df = spark.createDataFrame(rows, SCHEMA)
     parts = chat.format_conversations(df)
-    assert parts.groupBy("conv_id").count().collect()[0]["count"] >= 1
+    counts = {r["conv_id"]: r["count"] for r in parts.groupBy("conv_id").count().collect()}
+    assert set(counts) == {1, 2} and min(counts.values()) > 1
+    assert all({r.part for r in parts.where(f"conv_id = {c}").collect()} == set(range(n)) for c, n in counts.items())
     check(spark, rows)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
 

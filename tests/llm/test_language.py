@@ -69,24 +69,27 @@ def test_other_texts_are_rejected(spark):
 
 
 def naive(model, text):
-    """The prediction with one subword at a time."""
+    """Language, probability and deviation, with one subword at a time."""
     if text is None or not model.languages or not any(unicodedata.category(c)[0] == "L" for c in text):
-        return "und", 0.0
+        return "und", 0.0, -math.inf
     kept = "".join(c if "a" <= c <= "z" or not c.isascii() and not language.NO_LETTERS.fullmatch(c) else " " for c in text.lower())
     data = f" {' '.join(kept.split())} ".encode()
-    total, n = [0.0] * len(model.languages), 0
+    found = []
     for order in language.ORDERS:
         for i in range(len(data) - order + 1):
             h = (0x811C9DC5 + order) & 0xFFFFFFFF
             for k in range(order):
                 h = ((h ^ data[i + k]) * int(language._FACTORS[k])) & 0xFFFFFFFF
                 h ^= h >> 15
-            for c in range(len(model.languages)):
-                total[c] += float(model.table[c][h % language.BUCKETS])
-            n += 1
-    z = [t / max(1, n) + b for t, b in zip(total, model.bias, strict=True)]
+            found.append(h % language.BUCKETS)
+    n = max(1, len(found))
+    z = [sum(float(model.table[c][h]) for h in found) / n + b for c, b in enumerate(model.bias)]
     e = [math.exp(x - max(z)) for x in z]
-    return model.languages[e.index(max(e))], max(e) / sum(e)
+    best, deviation = e.index(max(e)), 0.0
+    if model.frequency is not None:
+        centre, between, single = map(float, model.usual[best])
+        deviation = (sum(float(model.frequency[best][h]) for h in found) / n - centre) / math.sqrt(between**2 + single**2 / n)
+    return model.languages[best], max(e) / sum(e), deviation
 
 
 def test_prediction_is_brute_force():
@@ -98,6 +101,15 @@ def test_prediction_is_brute_force():
         assert model.predict(text) == (expected[0], pytest.approx(expected[1], abs=1e-5))
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_a_trained_model_is_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.fit(docs)
+    for r in docs.limit(40).collect():
+        expected, got = naive(model, r.text), model.judge(r.text)
+        assert got[0] == expected[0] and got[1] == pytest.approx(expected[1], abs=1e-4) and got[2] == pytest.approx(expected[2], abs=1e-2)
+
+
 @pytest.mark.parametrize("text", ["½ 123", "² ① ৴", "١٢٣", "_ 1_2", "—…!", "", None])
 def test_texts_without_a_letter(text):
     model = language.LanguageModel(("a",), language.np.zeros((1, language.BUCKETS), "float32"), language.np.zeros(1), 0.0)

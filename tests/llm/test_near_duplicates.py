@@ -141,6 +141,6 @@ def test_units_follow_a_chain(spark):
     r = random.Random(9)
     words = [f"w{r.randrange(10**6)}" for _ in range(3 * 3000 + 120)]
     nodes = N.describe(spark.createDataFrame([row(i, " ".join(words[3 * i : 3 * i + 120])) for i in range(3000)], DOC)).withColumnRenamed("row", "node")
-    groups = N.verification_groups(N.candidate_stars(nodes), nodes).selectExpr("node", "size(groups) AS n", "explode(groups.unit) AS unit")
+    groups = N.verification_groups(N.candidate_stars(nodes, []), nodes, []).selectExpr("node", "size(groups) AS n", "explode(groups.unit) AS unit")
     assert groups.selectExpr("avg(n)").first()[0] < 12
     assert groups.groupBy("unit").count().selectExpr("max(count)").first()[0] < 60

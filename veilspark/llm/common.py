@@ -10,6 +10,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +20,11 @@ WORD = re.compile(WORD_PATTERN)
 
 #: Bytes and rows of one Arrow batch handed to a Python worker; either limit ends a batch, so memory follows neither
 #: the length of a text nor the number of rows in a partition.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BATCH_ROWS = 4096
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 #: Copies of the side with one row a key in a salted join, and the bits of the largest broadcast filter.
 SALTS, MOST_BITS = 16, 1 << 24
 
@@ -36,25 +39,50 @@ def quoted(names: list[str]) -> list[str]:
     return [f"`{x.replace('`', '``')}`" for x in names]
 
 
-def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """``df.mapInArrow(run)`` with the schema of ``df``, whatever its columns are called."""
+def map_rows(df: DataFrame, run: Run, column: int) -> DataFrame:
+    """``df.mapInArrow(run)`` with the schema of ``df``, whatever its columns are called, in slices by ``column``."""
     plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
-    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+    return plain.mapInArrow(in_slices(run, column), plain.schema).toDF(*df.columns)
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Limit the Arrow batches of this session by bytes as well as by rows."""
+    """Limit the Arrow batches of this session by bytes as well as by rows; ``in_slices`` holds where the session's limits are reset."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def in_slices(run: Run, column: int) -> Run:
+    """``run`` over batches cut so that the strings of one column have ``BATCH_BYTES`` at most, but for single rows of more.
+
+    What an operator makes of a batch is a multiple of it: this bounds it by the call, whatever the session's settings.
+    """
+    limit = BATCH_BYTES
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(column)
+            if texts.nbytes <= limit:
+                yield b
+                continue
+            ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < b.num_rows:
+                stop = max(at + 1, int(np.searchsorted(ends, (int(ends[at - 1]) if at else 0) + limit, "right")))
+                yield b.slice(at, stop - at)
+                at = stop
+
+    return lambda batches: run(cut(batches))
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (local tests) a temporary folder is made and set.
+    Only where the setting is absent in a local session (tests) a temporary folder is made and set; on a cluster that raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='veilspark-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -67,13 +95,26 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/veilspark/{label}-{uuid.uuid4().hex}"
 
 
-def materialized(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once as a table in the shared folder and read back: cuts lineage, survives lost executors."""
+def materialized(df: DataFrame, label: str, scratch: list[str] | None = None) -> DataFrame:
+    """``df`` written once as a table in the shared folder and read back: cuts lineage, survives lost executors.
+
+    The path is added to ``scratch``, for tables that are to be discarded.
+    """
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, scratch: list[str]) -> None:
+    """Delete tables that no plan still to be run reads."""
+    for x in scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(x)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    scratch.clear()
+
+
 def salted_join(rows: DataFrame, unique: DataFrame, keys: list[str], spread: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
     """``rows`` joined with ``unique`` (a row per key, repeated ``salts`` times), so that no key's rows meet in one task.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import materialized, salted_join
+from veilspark.llm.common import discard, materialized, salted_join
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,7 +15,8 @@ def components(edges: DataFrame) -> DataFrame:
     large component's root are dealt over salts.
     """
     start = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e, seen = materialized(start, "edges"), None
+    held: list[str] = []
+    e, seen = materialized(start, "edges", held), None
     while True:
         n, check = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if not n or (n, check) == seen:
@@ -26,8 +27,10 @@ def components(edges: DataFrame) -> DataFrame:
         large = salted_join(both, low, ["u"], "v").where("v > u").select(F.col("v").alias("u"), F.col("w").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("w"))
         small = salted_join(large, low, ["u"], "v")
+        last, held = held, []
         e = materialized(
-            small.where("v <> w").select(F.col("v").alias("u"), F.col("w").alias("v")).union(low.select("u", F.col("w").alias("v"))).distinct(), "edges"
+            small.where("v <> w").select(F.col("v").alias("u"), F.col("w").alias("v")).union(low.select("u", F.col("w").alias("v"))).distinct(), "edges", held
         )
+        discard(edges.sparkSession, last)
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

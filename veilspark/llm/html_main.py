@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from veilspark.llm.common import bound_batches
+from veilspark.llm.common import bound_batches, in_slices
 from veilspark.llm.html_nodes import GROUP_NAMES, GROUPS, HIDDEN_BIT, Page, blocks, read
 
 TAG_KINDS = {
@@ -432,4 +432,4 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
                 texts += main_texts(b.column(2).slice(at, 64).to_pylist(), model)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], schema.names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(in_slices(run, 2), schema)

@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.llm.common import bound_batches, map_rows
+from veilspark.llm.common import bound_batches, in_slices, map_rows
 
 #: Documented bound of the training sample, per language.
 PER_LANGUAGE = 500
@@ -248,7 +248,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 ["lang", "rank", "buckets", "shares", "n"],
             )
 
-    found = sample.mapInArrow(run, "lang string, rank int, buckets array<int>, shares array<float>, n long").toArrow().sort_by([("lang", "ascending"), ("rank", "ascending")])
+    found = sample.mapInArrow(in_slices(run, 2), "lang string, rank int, buckets array<int>, shares array<float>, n long").toArrow().sort_by([("lang", "ascending"), ("rank", "ascending")])
     rows = [(a.as_py(), b.values.to_numpy().astype(np.int64), c.values.to_numpy().astype(np.float64), n.as_py()) for a, b, c, n in zip(found["lang"], found["buckets"], found["shares"], found["n"], strict=True)]
     return train([x for x in rows if len(x[1])])
 
@@ -265,7 +265,7 @@ def predict_documents(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
             accepted = list(map(model.accepts, found))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array(accepted, pa.bool_())], schema.names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(in_slices(run, 2), schema)
 
 
 def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
@@ -277,4 +277,4 @@ def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text") ->
         for b in batches:
             yield b.filter(pa.array([model.accepts(model.judge(x.as_py())) for x in b.column(at)], pa.bool_()))
 
-    return map_rows(docs, run)
+    return map_rows(docs, run, at)

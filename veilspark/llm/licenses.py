@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.llm.common import bound_batches
+from veilspark.llm.common import bound_batches, in_slices
 
 #: Base phrases and their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -217,7 +217,7 @@ def word_frequencies(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
             rows += b.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(["", *names.tolist()]), pa.array([rows, *counts.tolist()], pa.int64())], ["word", "n"])
 
-    counted = docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = docs.select(text_col).mapInArrow(in_slices(run, 0), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {r["word"]: r["n"] for r in counted.collect()}
 
 
@@ -253,4 +253,4 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.float64(), arrow_span]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], schema.names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(in_slices(run, 1), schema)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import bit_filter, bound_batches, materialized, may_hold, quoted, salted_join
+from veilspark.llm.common import bit_filter, bound_batches, discard, in_slices, materialized, may_hold, quoted, salted_join
 from veilspark.llm.components import components
 
 SHINGLE = 5
@@ -173,7 +173,7 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 ["row", "doc_id", "text_hash", "size", "d0", "d1", "heads", "tails", "s0", "s1"],
             )
 
-    return src.mapInArrow(run, "row long, doc_id long, text_hash long, size long, d0 long, d1 long, heads array<long>, tails array<long>, s0 long, s1 long")
+    return src.mapInArrow(in_slices(run, 3), "row long, doc_id long, text_hash long, size long, d0 long, d1 long, heads array<long>, tails array<long>, s0 long, s1 long")
 
 
 def blocked(rows: DataFrame, keys: list[str], blocks: DataFrame, node: str = "node") -> DataFrame:
@@ -300,7 +300,7 @@ LEVEL = ["kind", "bucket", "tail", "a", "b", "s0", "s1"]
 STAR, REST, SEARCHED = 0, 1, 2
 
 
-def _level(rows: DataFrame, depth: int, floor: int) -> DataFrame:
+def _level(rows: DataFrame, depth: int, floor: int, scratch: list[str]) -> DataFrame:
     """Search the runs of an equal prefix of length ``depth`` in rows ``(bucket, tail, node, size, s0, s1)``.
 
     Gives stars ``(a, b)``, the rows of runs that are too dense, and beyond the floor the rows that were searched.
@@ -325,21 +325,21 @@ def _level(rows: DataFrame, depth: int, floor: int) -> DataFrame:
                 blank = pa.nulls(len(node), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), SEARCHED, np.int8)), bucket, tail, node, blank, blank, blank], LEVEL)
 
-    return materialized(dealt.mapInArrow(run, "kind byte, bucket long, tail long, a long, b long, s0 long, s1 long"), "forest")
+    return materialized(dealt.mapInArrow(run, "kind byte, bucket long, tail long, a long, b long, s0 long, s1 long"), "forest", scratch)
 
 
-def candidate_stars(nodes: DataFrame) -> DataFrame:
+def candidate_stars(nodes: DataFrame, scratch: list[str]) -> DataFrame:
     """Stars ``(a, b)`` of the forest, ``b`` the centre: with the target recall every similar pair lies in one."""
     floor = prefix_depth()
     rows = nodes.select(F.inline(F.arrays_zip("heads", "tails")).alias("bucket", "tail"), "node", "size", "s0", "s1")
-    found = _level(rows, floor, floor)
+    found = _level(rows, floor, floor, scratch)
     stars = found.where(F.col("kind") == STAR).select("a", "b")
     left = dense = found.where(F.col("kind") == REST).select("bucket", "tail", F.col("a").alias("node"), F.col("b").alias("size"), "s0", "s1")
     if dense.isEmpty():
         return stars.distinct()
     extra = None  # what a longer prefix adds to a node's logarithm of a miss
     for depth in range(floor + 1, FULL_DEPTH + 1):
-        found = _level(left, depth, floor)
+        found = _level(left, depth, floor, scratch)
         stars = stars.union(found.where(F.col("kind") == STAR).select("a", "b"))
         left = found.where(F.col("kind") == REST).select("bucket", "tail", F.col("a").alias("node"), F.col("b").alias("size"), "s0", "s1")
         searched = found.where(F.col("kind") == SEARCHED).select("bucket", F.col("a").alias("node"), F.lit(miss_of(depth) - miss_of(floor)).alias("miss"))
@@ -348,12 +348,12 @@ def candidate_stars(nodes: DataFrame) -> DataFrame:
     # At most TREES rows a node: the largest are taken back to the floor until the rest is within what the target leaves.
     room = math.log(MISS) - TREES * miss_of(floor)
     rest = F.sum("miss").over(W.partitionBy("node").orderBy("miss", "bucket").rowsBetween(W.unboundedPreceding, W.currentRow))
-    short = materialized(extra.withColumn("rest", rest).where(F.col("rest") > room).select("bucket", "node"), "shortened")
+    short = materialized(extra.withColumn("rest", rest).where(F.col("rest") > room).select("bucket", "node"), "shortened", scratch)
     if short.isEmpty():
         return stars.distinct()
     fifth = F.shiftrightunsigned("tail", 16 * (FULL_DEPTH - floor))
     marked = dense.withColumn("prefix", fifth).join(short.withColumn("asks", F.lit(True)), ["bucket", "node"], "left")
-    marked = materialized(marked.withColumn("asks", F.coalesce("asks", F.lit(False))), "dense")
+    marked = materialized(marked.withColumn("asks", F.coalesce("asks", F.lit(False))), "dense", scratch)
     runs = marked.groupBy("bucket", "prefix").agg(F.ceil(F.count(F.lit(1)) / DENSE).alias("n_blocks"), F.max("asks").alias("asked")).where("asked").drop("asked")
     names = ["bucket", "prefix", "low", "high", "block", "node", "size", "s0", "s1", "asks"]
     keys = names[:4]
@@ -373,7 +373,7 @@ def candidate_stars(nodes: DataFrame) -> DataFrame:
     return stars.union(pairs.mapInArrow(run, "a long, b long")).distinct()
 
 
-def verification_groups(stars: DataFrame, nodes: DataFrame) -> DataFrame:
+def verification_groups(stars: DataFrame, nodes: DataFrame, scratch: list[str]) -> DataFrame:
     """Per node of a star: node, doc_id, text_hash and ``groups``, its places ``(unit, low, high, block)`` in verification.
 
     Stars whose centres are tied share a unit; a unit of more than a block is dealt into pairs of blocks.
@@ -381,7 +381,7 @@ def verification_groups(stars: DataFrame, nodes: DataFrame) -> DataFrame:
     least = stars.groupBy("a").agg(F.min("b").alias("unit")).withColumnRenamed("a", "b")
     tied = salted_join(stars, least, ["b"], "a", "left").select("a", "b", F.coalesce("unit", "b").alias("unit"))
     members = tied.select(F.col("a").alias("node"), "unit").union(tied.select(F.col("b").alias("node"), "unit")).distinct()
-    members = materialized(members.join(nodes.select("node", "doc_id", "text_hash", "size"), "node"), "members")
+    members = materialized(members.join(nodes.select("node", "doc_id", "text_hash", "size"), "node"), "members", scratch)
     totals = members.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
     blocks = F.greatest(F.ceil(F.col("n") / UNIT_NODES), F.ceil(F.col("total") / UNIT_SHINGLES))
     dealt = blocked(members, ["unit"], totals.select("unit", blocks.alias("n_blocks")).where("n_blocks > 1"))
@@ -436,7 +436,7 @@ def verified_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: s
             offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(offsets, pa.array(joined.view(np.int64)))], ["node", "groups", "shingles"])
 
-    known = found.mapInArrow(sets, "node long, groups array<struct<unit:long,low:int,high:int,block:int>>, shingles array<long>")
+    known = found.mapInArrow(in_slices(sets, 2), "node long, groups array<struct<unit:long,low:int,high:int,block:int>>, shingles array<long>")
     # The units before the own one tell in which of several common units a pair counts.
     earlier = F.array_distinct(F.transform(F.filter("groups", lambda g: g["unit"] < F.col("g.unit")), lambda g: g["unit"]))
     dealt = known.select("node", F.explode("groups").alias("g"), "groups", "shingles").select("g.*", "node", earlier.alias("before"), "shingles")
@@ -500,8 +500,10 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first = F.min(F.struct("row", "doc_id", "text_hash", "size", "heads", "tails", "s0", "s1"))
     nodes = described.where("size > 0").groupBy("d0", "d1").agg(first.alias("n"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     nodes = materialized(nodes.select("d0", "d1", "least", "copies", F.col("n.row").alias("node"), "n.doc_id", "n.text_hash", "n.size", "n.heads", "n.tails", "n.s0", "n.s1"), "nodes")
-    members = materialized(verification_groups(candidate_stars(nodes), nodes), "units")
+    scratch: list[str] = []
+    members = materialized(verification_groups(candidate_stars(nodes, scratch), nodes, scratch), "units", scratch)
     links = materialized(verified_links(docs, members, id_col, text_col), "links")
+    discard(docs.sparkSession, scratch)
     roots = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     # Everything but the documents themselves is a row for each node with a link or a copy.
     degrees = links.groupBy("node").agg(F.sum("links").alias("links"))

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from veilspark.llm.common import bound_batches, ids_by_unit
+from veilspark.llm.common import bound_batches, ids_by_unit, in_slices
 
 SPACE = "▁"
 #: Put between units; the rare texts that have it themselves are cut by the pattern instead.
@@ -33,14 +33,29 @@ CUT = "\x01"
 LETTERS = "".join(c for c in map(chr, range(65, 592)) if c.isalpha())
 #: A run of spaces with what follows it, a newline, or what follows a newline. No piece contains a newline.
 UNIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
-#: What is remembered: units of at most so many characters, and so many of them.
-CACHE_CHARS, CACHE_UNITS = 48, 250_000
-#: Remembered verdicts on pairs of pieces, and lattices of prefixes of each ``PREFIX``-th length.
-PAIRS, PREFIX, PREFIXES = 300_000, 4, 100_000
+#: What a worker remembers: units of at most so many characters, lattices of prefixes of each ``PREFIX``-th length,
+#: verdicts on pairs of pieces, halves of pieces; each with a bound in bytes.
+CACHE_CHARS, PREFIX = 48, 4
+UNIT_BYTES, PREFIX_BYTES, PAIR_BYTES, SPLIT_BYTES = 40 << 20, 24 << 20, 16 << 20, 8 << 20
 #: Positions between two attempts to commit.
 COMMIT_EVERY = 64
 
 
+class Remembered(dict):
+    """A dictionary that is emptied where it would hold more than so many bytes, by the sizes of its entries as given."""
+
+    def __init__(self, limit: int) -> None:
+        super().__init__()
+        self.limit, self.held = limit, 0
+
+    def put(self, key: object, value: object, size: int) -> None:
+        if self.held + size > self.limit:
+            self.clear()
+            self.held = 0
+        self[key] = value
+        self.held += size
+
+
 class PieceModel:
     """Pieces, scores and byte ids of a SentencePiece file of the BPE kind."""
 
@@ -66,10 +81,7 @@ class PieceModel:
                 self.bytes[i] = b""
         self.names = names
         self.lengths = list(map(len, names))
-        self.pairs: dict[int, bool] = {}
-        self.prefixes: dict[str, tuple[int, ...]] = {}
-        self.split: dict[str, tuple[str, str]] = {}
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.pairs, self.prefixes, self.split, self.cache = map(Remembered, (PAIR_BYTES, PREFIX_BYTES, SPLIT_BYTES, UNIT_BYTES))
         self.alphabet = set("".join(self.normal))
         inner = {x[i : i + 2] for x in self.normal for i in range(len(x) - 1)}
         #: Marks that no piece has behind a Latin letter: the lattice always meets between the two.
@@ -97,7 +109,8 @@ class PieceModel:
         """The two parts whose merge makes a piece."""
         found = self.split.get(piece)
         if found is None:
-            found = self.split[piece] = tuple(self.merged(piece, 2))
+            found = tuple(self.merged(piece, 2))
+            self.split.put(piece, found, 400)
         return found
 
     def compatible(self, left: str, right: str) -> bool:
@@ -189,18 +202,15 @@ class PieceModel:
                 key = last[k] * 0x400000 + piece
                 ok = pairs.get(key)
                 if ok is None:
-                    ok = pairs[key] = self.follows(None if last[k] == -1 else self._name(last[k]), self._name(piece))
+                    ok = self.follows(None if last[k] == -1 else self._name(last[k]), self._name(piece))
+                    pairs.put(key, ok, 140)
                 if ok:
                     last.append(piece)
                     break
             else:
                 raise AssertionError(f"no path reaches position {i}")
             if not i % PREFIX and i < n:
-                prefixes[text[:i]] = tuple(last)
-        if len(prefixes) > PREFIXES:
-            prefixes.clear()
-        if len(pairs) > PAIRS:
-            pairs.clear()
+                prefixes.put(text[:i], tuple(last), 250 + 40 * i)
         out, lengths = [], self.lengths
         while n:
             piece = last[n]
@@ -227,12 +237,11 @@ class PieceModel:
         cache = self.cache
         out = list(map(cache.get, units))
         new = [i for i, ids in enumerate(out) if ids is None]
-        if len(cache) + len(new) > CACHE_UNITS:
-            cache.clear()
         for i in new:
             u = units[i]
             if len(u) <= CACHE_CHARS:
-                out[i] = cache[u] = self.unit(u) if u else ()
+                out[i] = self.unit(u) if u else ()
+                cache.put(u, out[i], 220 + 4 * len(u) + 40 * len(out[i]))
             else:
                 out[i] = tuple(chain.from_iterable(self.viterbi(u)))
         return out
@@ -292,4 +301,4 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
                 [id_col, "ids", "n_tokens", "ids_crc32", "n_chars", "round_trip"],
             )
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(in_slices(run, 1), schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from veilspark.llm.common import WORD, bound_batches, map_rows
+from veilspark.llm.common import WORD, bound_batches, in_slices, map_rows
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 SEPARATORS = frozenset(("|", "»", "«", "›", "‹", "·", "•", "::", "/", "-", "–", "—", ">", "<"))
@@ -172,7 +172,7 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", conf
                 columns.append(pa.array([getattr(v, f.name) for v in found], pa.bool_() if isinstance(f.dataType, T.BooleanType) else pa.int64()))
             yield pa.RecordBatch.from_arrays(columns, [id_col, *(f.name for f in VERDICT_FIELDS)])
 
-    return src.mapInArrow(run, T.StructType([src.schema[id_col], *VERDICT_FIELDS]))
+    return src.mapInArrow(in_slices(run, 1), T.StructType([src.schema[id_col], *VERDICT_FIELDS]))
 
 
 def clean(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", config: QualityConfig = QualityConfig()) -> DataFrame:
@@ -197,4 +197,4 @@ def clean(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_c
                 columns[length_at] = pa.array([len(x) for x in texts], pa.int64()).cast(columns[length_at].type)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    return map_rows(docs, run)
+    return map_rows(docs, run, at)

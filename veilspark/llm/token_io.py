@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.llm.common import bound_batches, ids_by_unit, shared_path
+from veilspark.llm.common import bound_batches, ids_by_unit, in_slices, shared_path
 
 MAGIC = b"PFR1"
 BLOCK = 2048
@@ -231,7 +231,7 @@ def write_shards(docs: DataFrame, path: str, encoder: Callable[[], Callable[[pa.
         if ids:
             yield shard()
 
-    ordered.mapInArrow(run, SHARD_SCHEMA).write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(in_slices(run, 1), SHARD_SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
