@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ WORD = re.compile(WORD_PATTERN)
 
 #: Bytes and rows of one Arrow batch handed to a Python worker; either limit ends a batch, so memory follows neither
 #: the length of a text nor the number of rows in a partition.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 BATCH_ROWS = 4096
 
 Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
@@ -150,22 +150,53 @@ def may_hold(rows: DataFrame, column: str, words: DataFrame, n: int) -> DataFram
     return met.withColumn("__maybe", F.coalesce(bit, F.lit(False))).drop("__word", "__bits")
 
 
-def ids_by_unit(lists: pa.ListArray, ids_of: Callable[[list[str]], list[tuple[int, ...]]], kind: type = np.uint32) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of texts given as lists of units, joined, and the number of ids of each text.
+def strings(texts: pa.Array, divider: str) -> list[str]:
+    """The Python strings of an array without nulls, in none of which ``divider`` stands: one conversion, then one cut."""
+    if not len(texts):
+        return []
+    one = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts)
+    return pc.binary_join(one, divider)[0].as_py().split(divider)
 
-    Distinct units are found in Arrow; only they become Python strings, and ``ids_of`` sees each once.
+
+class UnitIds:
+    """Ids of texts given as lists of units, remembering the ids of every unit met, in arrays, up to so many bytes.
+
+    ``learn`` takes new units and gives them back in an order of its own, with their ids joined and the number of each.
+    Distinct units of a batch are found in Arrow; only they become Python strings. No unit holds ``divider``.
     """
-    coded = lists.flatten().dictionary_encode()
-    if isinstance(coded, pa.ChunkedArray):
-        coded = coded.combine_chunks()
-    found = ids_of(coded.dictionary.to_pylist())
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    flat = np.fromiter(chain.from_iterable(found), kind, int(sizes.sum()))
-    starts = np.cumsum(sizes) - sizes
-    codes = coded.indices.to_numpy(zero_copy_only=False)
-    own = sizes[codes]
-    ends = np.cumsum(own)
-    total = int(ends[-1]) if len(ends) else 0
-    joined = flat[np.arange(total) + np.repeat(starts[codes] - (ends - own), own)]
-    bounds = np.r_[0, ends][lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-    return joined, np.diff(bounds)
+
+    def __init__(self, learn: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], divider: str, limit: int, kind: type = np.uint32) -> None:
+        self.learn, self.divider, self.limit, self.kind = learn, divider, limit, kind
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.flat, self.start, self.size, self.held = np.empty(0, self.kind), np.empty(0, np.int64), np.empty(0, np.int64), 0
+
+    def _places(self, units: list[str]) -> np.ndarray:
+        own = np.fromiter(map(self.place.get, units, repeat(-1)), np.int64, len(units))
+        new = np.flatnonzero(own < 0)
+        if len(new):
+            names, flat, size = self.learn([units[i] for i in new.tolist()])
+            first = len(self.size)
+            self.place.update(zip(names, range(first, first + len(names)), strict=True))
+            self.start = np.r_[self.start, len(self.flat) + np.cumsum(size) - size]
+            self.size, self.flat = np.r_[self.size, size], np.r_[self.flat, flat.astype(self.kind)]
+            self.held += sum(map(len, names)) + 200 * len(names) + flat.nbytes
+            own[new] = np.fromiter(map(self.place.__getitem__, (units[i] for i in new.tolist())), np.int64, len(new))
+        return own
+
+    def __call__(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, joined, and the number of ids of each text."""
+        if self.held > self.limit:
+            self._forget()
+        coded = lists.flatten().dictionary_encode()
+        if isinstance(coded, pa.ChunkedArray):
+            coded = coded.combine_chunks()
+        which = self._places(strings(coded.dictionary, self.divider))[coded.indices.to_numpy(zero_copy_only=False)]
+        own = self.size[which]
+        ends = np.cumsum(own)
+        total = int(ends[-1]) if len(ends) else 0
+        joined = self.flat[np.arange(total) + np.repeat(self.start[which] - (ends - own), own)]
+        bounds = np.r_[0, ends][lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return joined, np.diff(bounds)

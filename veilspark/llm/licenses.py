@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.llm.common import bound_batches, in_slices
+from veilspark.llm.common import bound_batches, in_slices, strings
 
 #: Base phrases and their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -140,7 +140,7 @@ class LicenseIndex:
 
     def codes(self, coded: pa.DictionaryArray) -> np.ndarray:
         """The vocabulary's number of every word, or -1."""
-        known = np.array([self.vocabulary.get(w, -1) for w in coded.dictionary.to_pylist()] or [-1])
+        known = np.array([self.vocabulary.get(w, -1) for w in strings(coded.dictionary, " ")] or [-1])
         return known[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int64)
 
     @staticmethod

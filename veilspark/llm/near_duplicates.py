@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import bit_filter, bound_batches, discard, in_slices, materialized, may_hold, quoted, salted_join
+from veilspark.llm.common import bit_filter, bound_batches, discard, in_slices, materialized, may_hold, quoted, salted_join, strings
 from veilspark.llm.components import components
 
 SHINGLE = 5
@@ -84,7 +84,7 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     coded = lists.flatten().dictionary_encode()
     if isinstance(coded, pa.ChunkedArray):
         coded = coded.combine_chunks()
-    known = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    known = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in strings(coded.dictionary, " ")), np.uint64, len(coded.dictionary))
     words = known[coded.indices.to_numpy(zero_copy_only=False)]
     bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
     blank = pc.equal(trimmed, "").to_numpy(zero_copy_only=False)

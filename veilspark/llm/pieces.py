@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from veilspark.llm.common import bound_batches, ids_by_unit, in_slices
+from veilspark.llm.common import UnitIds, bound_batches, in_slices
 
 SPACE = "▁"
 #: Put between units; the rare texts that have it themselves are cut by the pattern instead.
@@ -33,9 +33,11 @@ CUT = "\x01"
 LETTERS = "".join(c for c in map(chr, range(65, 592)) if c.isalpha())
 #: A run of spaces with what follows it, a newline, or what follows a newline. No piece contains a newline.
 UNIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
-#: What a worker remembers: units of at most so many characters, lattices of prefixes of each ``PREFIX``-th length,
+#: Units of at most so many characters fit one window; longer ones are streamed.
+WINDOW_CHARS = 48
+#: What a worker remembers: ids of units, lattices of prefixes of each ``PREFIX``-th length,
 #: verdicts on pairs of pieces, halves of pieces; each with a bound in bytes.
-CACHE_CHARS, PREFIX = 48, 4
+PREFIX = 4
 UNIT_BYTES, PREFIX_BYTES, PAIR_BYTES, SPLIT_BYTES = 40 << 20, 24 << 20, 16 << 20, 8 << 20
 #: Positions between two attempts to commit.
 COMMIT_EVERY = 64
@@ -81,7 +83,8 @@ class PieceModel:
                 self.bytes[i] = b""
         self.names = names
         self.lengths = list(map(len, names))
-        self.pairs, self.prefixes, self.split, self.cache = map(Remembered, (PAIR_BYTES, PREFIX_BYTES, SPLIT_BYTES, UNIT_BYTES))
+        self.pairs, self.prefixes, self.split = map(Remembered, (PAIR_BYTES, PREFIX_BYTES, SPLIT_BYTES))
+        self.ids = UnitIds(self._learn, CUT, UNIT_BYTES, np.int32)
         self.alphabet = set("".join(self.normal))
         inner = {x[i : i + 2] for x in self.normal for i in range(len(x) - 1)}
         #: Marks that no piece has behind a Latin letter: the lattice always meets between the two.
@@ -233,18 +236,11 @@ class PieceModel:
             end -= len(last[end])
         return [x for p in reversed(pieces) for x in self.ids_of(p)]
 
-    def _ids_of(self, units: list[str]) -> list[tuple[int, ...]]:
-        cache = self.cache
-        out = list(map(cache.get, units))
-        new = [i for i, ids in enumerate(out) if ids is None]
-        for i in new:
-            u = units[i]
-            if len(u) <= CACHE_CHARS:
-                out[i] = self.unit(u) if u else ()
-                cache.put(u, out[i], 220 + 4 * len(u) + 40 * len(out[i]))
-            else:
-                out[i] = tuple(chain.from_iterable(self.viterbi(u)))
-        return out
+    def _learn(self, units: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The ids of units: in one lattice where they fit the window, else by the stream."""
+        found = [self.unit(u) if len(u) <= WINDOW_CHARS else tuple(chain.from_iterable(self.viterbi(u))) for u in units]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return units, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of every whole text of an array without nulls."""
@@ -254,10 +250,10 @@ class PieceModel:
         cut = pc.replace_substring_regex(pc.replace_substring(own, "\n", f"{CUT}\n{CUT}"), f"({SPACE}+)", f"{CUT}\\1")
         if self.marks:
             cut = pc.replace_substring_regex(cut, f"([{LETTERS}])([{self.marks}])", f"\\1{CUT}\\2")
-        joined, sizes = ids_by_unit(pc.split_pattern(cut, CUT), self._ids_of, np.int32)
+        joined, sizes = self.ids(pc.split_pattern(cut, CUT))
         out = np.split(joined, np.cumsum(sizes)[:-1]) if len(sizes) else []
         for i in np.flatnonzero(pc.match_substring(texts, CUT).to_numpy(zero_copy_only=False)):
-            out[i] = np.array([x for ids in self._ids_of(UNIT.findall(own[int(i)].as_py())) for x in ids], np.int32)
+            out[i] = self._learn(UNIT.findall(own[int(i)].as_py()))[1]
         return out
 
     def decode(self, ids: Iterable[int]) -> str:

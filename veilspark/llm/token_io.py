@@ -16,7 +16,7 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain, compress, count
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +26,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.llm.common import bound_batches, ids_by_unit, in_slices, shared_path
+from veilspark.llm.common import UnitIds, bound_batches, in_slices, shared_path
 
 MAGIC = b"PFR1"
 BLOCK = 2048
 PERCENT = 95
 #: A shard ends with the document that brings it to so many ids.
 SHARD_IDS = 1 << 20
-#: Chunks of text whose ids a worker remembers, and the longest chunk worth remembering.
-CACHE_CHUNKS = 400_000
-CACHE_CHARS = 48
+#: Bytes of chunks of text and their ids that a worker remembers.
+CHUNK_BYTES = 64 << 20
 
 
 def _pack(values: np.ndarray, width: int) -> bytes:
@@ -137,7 +136,7 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.ids = UnitIds(self._learn, " ", CHUNK_BYTES)
         # Words of plain letters need no normalizing, and white space alone divides them; kept only if a sample agrees.
         from tokenizers import normalizers, pre_tokenizers
 
@@ -151,34 +150,20 @@ class ChunkEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def _learn(self, chunks: list[str]) -> list[tuple[int, ...]]:
-        """Ids of new chunks, in order."""
+    def _learn(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Chunks, those of plain letters first, with their ids and the number of each."""
         plain = list(map(bool, map(_WORD.fullmatch, chunks)))
-        words = list(compress(chunks, plain))
-        out: list[tuple[int, ...] | None] = [None] * len(chunks)
+        words, rest = list(compress(chunks, plain)), [c for c, p in zip(chunks, plain, strict=True) if not p]
+        ids, sizes = np.empty(0, np.uint32), np.empty(0, np.int64)
         if words:
-            ids = self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
-            stops = (np.flatnonzero(self.ends[np.array(ids, np.int64)]) + 1).tolist()
-            if len(stops) == len(words):
-                cut = [tuple(ids[a:b]) for a, b in zip(chain((0,), stops), stops, strict=False)]
-                for i, own in zip(compress(count(), plain), cut, strict=False):
-                    out[i] = own
-        rest = [i for i, own in enumerate(out) if own is None]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = tuple(e.ids)
-        return out
-
-    def _ids_of(self, chunks: list[str]) -> list[tuple[int, ...]]:
-        cache = self.cache
-        out = list(map(cache.get, chunks))
-        new = [i for i, own in enumerate(out) if own is None]
-        if len(cache) + len(new) > CACHE_CHUNKS:
-            cache.clear()
-        for i, own in zip(new, self._learn([chunks[i] for i in new]), strict=True):
-            out[i] = own
-            if len(chunks[i]) <= CACHE_CHARS:
-                cache[chunks[i]] = own
-        return out
+            ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            sizes = np.diff(stops, prepend=0)
+            if len(stops) != len(words):
+                words, rest, ids, sizes = [], chunks, ids[:0], sizes[:0]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        more = np.fromiter(chain.from_iterable(found), np.uint32)
+        return words + rest, np.r_[ids, more], np.r_[sizes, np.fromiter(map(len, found), np.int64, len(found))]
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of every text of an array without nulls."""
@@ -186,7 +171,7 @@ class ChunkEncoder:
         holds = [pc.match_substring(low, x).to_numpy(zero_copy_only=False) for x in self.special]
         whole = np.flatnonzero(np.logical_or.reduce(holds)) if holds else ()
         spaced = pc.replace_substring_regex(pc.replace_substring(low, "\n", " "), _TAIL, r"\1 \2\3")
-        joined, sizes = ids_by_unit(pc.split_pattern(spaced, " "), self._ids_of)
+        joined, sizes = self.ids(pc.split_pattern(spaced, " "))
         out = np.split(joined, np.cumsum(sizes)[:-1]) if len(sizes) else []
         for i in whole:
             out[i] = np.array(self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, np.uint32)
