@@ -215,7 +215,8 @@ def near(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFra
     first = F.lit(len(tables))
     for t in reversed(range(len(tables))):
         first = F.when(same[tables[t][0]] & same[tables[t][1]], F.lit(t)).otherwise(first)
-    met = q.join(f, (q["__key"] == f["__key"]) & (F.col("__qt") == F.col("__table")) & (distance <= radius) & (first == F.col("__table")))
+    # A sort-merge join at every size: the queries grow with the data, so whether they could be broadcast must not decide.
+    met = q.join(f.hint("merge"), (q["__key"] == f["__key"]) & (F.col("__qt") == F.col("__table")) & (distance <= radius) & (first == F.col("__table")))
     return met.select("q0", "q1", "f0", "f1", "n", distance.cast("int").alias("distance"))
 
 
