@@ -1,6 +1,10 @@
+import pyarrow as pa
 import pytest
 
+from veilspark.functions import examples
 from veilspark.functions.dialect import extract_literal, to_java, to_python
+from veilspark.functions.model import redact_line
+from veilspark.operators.arrow import Policy, compiled
 from veilspark.operators.builtin import PROFILES
 from veilspark.operators.rules import Reject, Rule, RuleSet, parse_rule
 
@@ -48,6 +52,35 @@ def test_counts_and_profiles():
         RuleSet.profiles("none")
 
 
+EVERY = RuleSet.builtin().union(RuleSet.profiles("all")).union(RuleSet.categories())
+#: Lines as they stand in logs, and the rule of the catalog that must find something in them.
+SEEN = {
+    "facebook_token": "token=EAA" + "Bc1" * 30, "google_tag": "gtag GTM-ABC1234 loaded", "google_analytics": "ga UA-123456-1", "npm_auth": "//registry.npmjs.org/:_authToken=abcdef0123456789abcdef", "discover": "card 6011000990139424 ok",
+    "diners": "card 30569309025904 ok", "jcb": "card 3530111333300000 ok", "card_expiry": "exp: 12/27 ok", "us_phone": "call (555) 123-4567 or later", "international_phone": "ring +44 20 7946 0958 now", "postgres_url": "DATABASE_URL=postgres://app:s3cret@db/x",
+    "stripe_secret": "sk_live_" + "a1B2" * 6, "sendgrid_key": f"SG.{'a' * 22}.{'b' * 43}", "discord_webhook": f"https://discord.com/api/webhooks/123456789012345678/{'x' * 64}", "docker_auth": '{"auths":{"r":{"auth": "dXNlcjpwYXNzd29yZA=="}}}',
+}
+
+
+@pytest.mark.parametrize("rule", EVERY, ids=lambda r: r.name)
+def test_every_rule_has_a_hit_and_a_near_miss(rule):
+    one = RuleSet.of([rule])
+    assert rule.tag in redact_line(one, examples.hit(rule)).redacted
+    assert redact_line(one, examples.miss(rule)).hits == 0
+    every = [examples.hit(rule), examples.miss(rule)]
+    assert compiled(one, Policy(), False).redact(pa.array(every)).to_pylist() == [redact_line(one, x).redacted for x in every]
+
+
+@pytest.mark.parametrize("name", SEEN)
+def test_lines_of_logs(name):
+    rule = next(r for r in EVERY if r.name == name)
+    assert redact_line(RuleSet.of([rule]), SEEN[name]).hits
+
+
+def test_all_rules_at_once_are_the_model():
+    lines = [line for _, _, line in examples.examples(EVERY)]
+    assert compiled(EVERY, Policy(), False).redact(pa.array(lines)).to_pylist() == [redact_line(EVERY, x).redacted for x in lines]
+
+
 def test_union_keeps_rules_with_one_literal():
     both = RuleSet.of([Rule("a", "DE", "DE[0-9]+")]).union(RuleSet.of([Rule("b", "DE", "DE[A-Z]+"), Rule("a", "DE", "DE[0-9]+")]))
     assert [r.name for r in both] == ["a", "b"]
