@@ -34,7 +34,7 @@ def register(redactor: Redactor, prefix: str) -> list[str]:
     if spark is None:
         raise ValueError("no session to register functions in")
     own = {
-        "redact": arrow.redact_udf(rules, policy, per_line=False), "redact_text": arrow.redact_udf(rules, policy),
+        "redact": arrow.whole_udf(rules, policy, per_line=False), "redact_text": arrow.whole_udf(rules, policy),
         "findings": arrow.findings_udf(rules, policy), "has_sensitive": arrow.sensitive_udf(rules, policy),
     }
     for name, f in own.items():

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from veilspark.functions.dialect import to_re2
@@ -52,8 +53,8 @@ class Policy:
 class Screen:
     """Which rows of a batch each rule may match.
 
-    Rules are screened by their literal where it is telling, else by their regex. Each of the two kinds begins with one
-    pass of an alternation over all rows; only rows that pass are looked at rule by rule.
+    Rules are screened by their literal where it is telling, else by their regex. One pass of an alternation of all of
+    them runs over every row; only rows that pass are looked at rule by rule.
     """
 
     #: Single characters rare enough in text to screen by.
@@ -64,16 +65,15 @@ class Screen:
         self.regexes: list[tuple[str, int]] = []
         self.always: list[int] = []
         for i, r in enumerate(rules):
-            if len(r.literal) > 1 or r.literal in self.TELLING:
+            if len(r.literal) > 2 or r.literal in self.TELLING or len(r.literal) == 2 and not r.literal.isdigit():
                 self.literals.setdefault(r.literal, []).append(i)
             elif _runs(to_re2(r.regex)):
                 self.regexes.append((to_re2(r.regex), i))
             else:
                 self.always.append(i)
-        self.any_literal = "|".join(re.escape(x) for x in self.literals)
-        self.any_regex = "|".join(f"(?:{x})" for x, _ in self.regexes)
-        if not _runs(self.any_regex):  # too large together
-            self.any_regex = ""
+        self.first = ["|".join([*(re.escape(x) for x in self.literals), *(f"(?:{x})" for x, _ in self.regexes)])]
+        if not _runs(self.first[0]):  # too large together
+            self.first = [re.escape(x) for x in self.literals] + [x for x, _ in self.regexes]
         self.automaton = _automaton(self.literals) if len(self.literals) > MANY_LITERALS else None
 
     @staticmethod
@@ -81,30 +81,35 @@ class Screen:
         match = pc.match_substring if literal else pc.match_substring_regex
         return np.flatnonzero(pc.fill_null(match(texts, pattern), False).to_numpy(zero_copy_only=False))
 
-    def _each(self, texts: pa.Array, first: str, tests: list[tuple[str, list[int], bool]], found: dict[int, list[int]]) -> None:
-        rows = self._where(texts, first) if first else np.arange(len(texts))
-        if not len(rows):
-            return
-        own = texts if len(rows) == len(texts) else texts.take(pa.array(rows))
-        for pattern, ids, literal in tests:
-            for k in rows[self._where(own, pattern, literal)].tolist():
-                found.setdefault(k, []).extend(ids)
+    def passing(self, texts: pa.Array) -> np.ndarray:
+        """The rows in which anything screened for may stand."""
+        if self.always:
+            return np.arange(len(texts))
+        if not self.literals and not self.regexes:
+            return np.empty(0, np.int64)
+        rows = [self._where(texts, x) for x in self.first]
+        return rows[0] if len(rows) == 1 else np.unique(np.concatenate(rows))
 
     def __call__(self, texts: pa.Array) -> dict[int, list[int]]:
         """Rows that may match, with their rules in order."""
-        found: dict[int, list[int]] = {}
+        rows = self.passing(texts)
+        if not len(rows):
+            return {}
+        own = texts if len(rows) == len(texts) else texts.take(pa.array(rows))
+        found: list[list[int]] = [list(self.always) for _ in range(len(rows))]
         if self.automaton is not None:
-            rows = self._where(texts, self.any_literal)
-            for k, text in zip(rows.tolist(), texts.take(pa.array(rows)).to_pylist(), strict=True):
-                found[k] = [i for ids in {x for _, x in self.automaton.iter(text)} for i in ids]
-        elif self.literals:
-            self._each(texts, self.any_literal, [(x, ids, True) for x, ids in self.literals.items()], found)
-        if self.regexes:
-            self._each(texts, self.any_regex, [(x, [i], False) for x, i in self.regexes], found)
-        if self.always:
-            for k in range(len(texts)):
-                found.setdefault(k, []).extend(self.always)
-        return {k: sorted(v) for k, v in found.items()}
+            for ids, text in zip(found, own.to_pylist(), strict=True):
+                if text is not None:
+                    for hit in {x for _, x in self.automaton.iter(text)}:
+                        ids.extend(hit)
+        else:
+            for x, ids in self.literals.items():
+                for k in self._where(own, x, True).tolist():
+                    found[k].extend(ids)
+        for x, i in self.regexes:
+            for k in self._where(own, x).tolist():
+                found[k].append(i)
+        return {k: sorted(ids) for k, ids in zip(rows.tolist(), found, strict=True) if ids}
 
 
 def _automaton(literals: dict[str, list[int]]):  # noqa: ANN202
@@ -213,6 +218,20 @@ class Compiled:
         new = [None if x is None else self.redacted(x, found[k]) for k, x in zip(rows, old, strict=True)]
         return pc.replace_with_mask(texts, pa.array(mask), pa.array(new, texts.type))
 
+    def changed(self, texts: pa.Array) -> pa.Array:
+        """The redacted texts of the rows that change, null for all others: what need not go back is not sent."""
+        found = self.rows(texts)
+        mask = np.zeros(len(texts), bool)
+        new = []
+        if found:
+            rows = sorted(found)
+            for k, x in zip(rows, texts.take(pa.array(rows)).to_pylist(), strict=True):
+                y = None if x is None else self.redacted(x, found[k])
+                if y != x:
+                    mask[k] = True
+                    new.append(y)
+        return pc.replace_with_mask(pa.nulls(len(texts), texts.type), pa.array(mask), pa.array(new, texts.type))
+
     def results(self, texts: pa.Array) -> pa.Array:
         found = self.rows(texts)
         out = []
@@ -278,6 +297,15 @@ def _udf(rules: RuleSet, policy: Policy, per_line: bool, kind: str, method: str)
 
 
 def redact_udf(rules: RuleSet, policy: Policy = Policy(), per_line: bool = True) -> Callable[[Column | str], Column]:
+    """The redacted text. Unless the policy may null a text, only changed texts come back from Python."""
+    if policy.on_error == "null" or policy.long_lines == "null":
+        return _udf(rules, policy, per_line, "string", "redact")
+    changed = _udf(rules, policy, per_line, "string", "changed")
+    return lambda text: F.coalesce(changed(text), F.col(text) if isinstance(text, str) else text)
+
+
+def whole_udf(rules: RuleSet, policy: Policy = Policy(), per_line: bool = True) -> Callable[[Column | str], Column]:
+    """The redacted text as one function, as SQL needs it."""
     return _udf(rules, policy, per_line, "string", "redact")
 
 
