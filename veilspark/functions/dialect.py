@@ -39,12 +39,25 @@ def _scan(regex: str) -> list[tuple[str, bool]]:
     return out
 
 
+#: A class of word characters alone, at the start or (with a count that is not zero) at the end of what is left.
+_WORDS = r"\[(?:[0-9A-Za-z_](?:-[0-9A-Za-z])?)+\]"
+_BEFORE, _AFTER = re.compile(_WORDS + r"(?![*?]|\{0)"), re.compile(r"(?<!\\)" + _WORDS + r"(?:\+|\{[1-9][0-9,]*\})?\Z")
+
+
 @lru_cache(4096)
 def to_java(regex: str) -> str:
-    """The rule for ``regexp_*`` functions: ASCII word edges, ``[`` and ``&&`` inside a class taken as characters."""
-    parts = []
+    """The rule for ``regexp_*`` functions: ASCII word edges, ``[`` and ``&&`` inside a class taken as characters.
+
+    An edge beside word characters looks only at its other side.
+    """
+    parts, at = [], 0
     for token, inside in _scan(regex):
-        if token == "\\b" and not inside:
+        at = at + len(token) if regex.startswith(token, at) else -len(regex) - 1
+        if token == "\\b" and not inside and at > 0 and _BEFORE.match(regex, at):
+            parts.append("(?<![0-9A-Za-z_])")
+        elif token == "\\b" and not inside and at > 0 and _AFTER.search(regex[: at - 2]):
+            parts.append("(?![0-9A-Za-z_])")
+        elif token == "\\b" and not inside:
             parts.append(_EDGE)
         elif token == "\\B" and not inside:
             parts.append(_INNER)

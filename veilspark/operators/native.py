@@ -26,9 +26,13 @@ def _implied(rule: Rule) -> bool:
 
 
 def pattern(rule: Rule, text: Column) -> Column:
-    """The rule's Java pattern, or one that never matches where its literal is absent."""
+    """The rule's Java pattern, or one that never matches where its literal is absent.
+
+    Literals that every match holds are gated too unless nearly every text has them: finding that there is no ``@`` is
+    cheaper than trying a pattern from every character.
+    """
     own = F.lit(to_java(rule.regex))
-    return own if _implied(rule) else F.when(F.contains(text, F.lit(rule.literal)), own).otherwise(F.lit(NEVER))
+    return own if rule.literal in ("", ".") and _implied(rule) else F.when(F.contains(text, F.lit(rule.literal)), own).otherwise(F.lit(NEVER))
 
 
 def redact_chain(text: Column | str, rules: Iterable[Rule]) -> Column:
