@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from veilspark.operators.engine import Redactor
 from veilspark.sources.lines import assemble_lines, explode_lines, over_long, read_lines, redact_files
-from veilspark.sources.requests import redact_batch_requests, redact_requests
-from veilspark.streaming.streams import findings_per_window, redact_stream
+from veilspark.sources.requests import redact_batch_requests, redact_events, redact_requests
+from veilspark.streaming.streams import findings_per_window, redact_stream, ship_events
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -65,6 +65,42 @@ def test_windowed_findings(spark):
     assert got == {("00:00", "email"): 2, ("00:10", "email"): 1, ("00:10", "ipv4"): 1}
 
 
+EVENTS = [
+    '{"level": "warn", "message": "login a@b.cc", "code": 7, "tags": ["x"]}', '{"level": "info", "message": "clean", "code": 1}', '{"level": "a@b.cc", "message": null}', "no json a@b.cc", '{"message": "cut 10.0.0.1', '{"code": "a@b.cc"}', '{"message": "\\ud800 10.0.0.1"}',
+    '{"message": "first", "message": "a@b.cc"}',
+]
+
+
+def test_events(spark):
+    df = spark.createDataFrame([(x,) for x in [*EVENTS, None]], "body string")
+    got = [r.body for r in redact_events(Redactor(spark), df, "body", "level string, message string, code int", ["message", "level"]).collect()]
+    assert json.loads(got[0]) == {"level": "warn", "message": "login [REDACTED:email]", "code": 7} and json.loads(got[1]) == {"level": "info", "message": "clean", "code": 1}
+    assert json.loads(got[2])["level"] == "[REDACTED:email]" and got[3] == "no json [REDACTED:email]" and got[-1] is None
+    assert not any("a@b.cc" in x or "10.0.0.1" in x for x in got[:-1])
+
+
+def test_shipped_events_arrive_once(spark, tmp_path):
+    source, target, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    Path(source).mkdir()
+    for k in range(2):
+        Path(source, f"{k}.txt").write_text("\n".join(EVENTS[:3]) + "\n")
+        ship_events(Redactor(spark), spark.readStream.text(source), "value", "level string, message string, code int", ["message", "level"], target, mark).awaitTermination()
+    got = [x.value for x in spark.read.text(target).select("value").collect()]
+    assert len(got) == 6 and not any("a@b.cc" in x for x in got)
+
+
+def test_large_batches_are_halved(spark, monkeypatch):
+    import pyarrow as pa
+
+    from veilspark.operators import arrow
+
+    monkeypatch.setattr(arrow, "MOST_BYTES", 200)
+    lines = [f"line {i} a{i}@b.cc" if i % 3 else f"clean {i}" for i in range(100)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, t string").coalesce(1)
+    assert [x.t for x in df.select(Redactor(spark).redact_text("t").alias("t")).collect()] == [x if i % 3 == 0 else f"line {i} [REDACTED:email]" for i, x in enumerate(lines)]
+    assert pa.array(lines).nbytes > arrow.MOST_BYTES
+
+
 def test_command_line(tmp_path):
     (tmp_path / "own.txt").write_text("own|zzz|zzz[0-9]+|\n")
     run = lambda *a, text: subprocess.run([sys.executable, "-m", "veilspark.cli", *a], input=text, capture_output=True, text=True, cwd=ROOT, check=True)

@@ -26,6 +26,8 @@ MODES = ("complete", "cascade")
 ON_ERROR = ("raise", "null", "mask_all")
 LONG_LINES = ("process", "null", "error")
 MASK = "[REDACTED]"
+#: Bytes of texts searched at once; larger batches are halved, so memory follows neither their rows nor the session's settings.
+MOST_BYTES = 8 << 20
 #: Literals beyond which the rows that have any are searched by an automaton.
 MANY_LITERALS = 24
 
@@ -291,6 +293,9 @@ def _udf(rules: RuleSet, policy: Policy, per_line: bool, kind: str, method: str)
     own = RuleSet(rules.rules)
 
     def run(texts: pa.Array) -> pa.Array:
+        if texts.nbytes > MOST_BYTES and len(texts) > 1:
+            half = len(texts) // 2
+            return pa.concat_arrays([run(texts.slice(0, half)), run(texts.slice(half))])
         return getattr(compiled(own, policy, per_line), method)(texts)
 
     return arrow_udf(run, kind)

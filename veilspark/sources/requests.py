@@ -50,3 +50,19 @@ def redact_batch_requests(redactor: Redactor, df: DataFrame, body: str, response
     )
     answer = F.when(F.col("__texts").isNotNull(), F.to_json(F.struct(F.col("__results").alias("results"), stats.alias("stats"))))
     return marked.withColumn(response, answer).drop("__texts", "__red", "__results")
+
+
+def redact_events(redactor: Redactor, df: DataFrame, body: str, schema: str, fields: list[str]) -> DataFrame:
+    """JSON objects of a schema with the named string fields redacted; keys outside the schema are dropped.
+
+    A body that is no such JSON, or does not fit the schema, is redacted as plain text: nothing passes unseen.
+    """
+    event = F.from_json(F.col(body), f"{schema}, __corrupt string", {"columnNameOfCorruptRecord": "__corrupt"})
+    marked = df.withColumn("__event", event)
+    marked = marked.withColumns({f"__field{i}": redactor.redact_text(F.col(f"__event.{x}")) for i, x in enumerate(fields)})
+    marked = marked.withColumn("__plain", redactor.redact_text(F.when(F.col("__event").isNull() | F.col("__event.__corrupt").isNotNull(), F.col(body))))
+    done = F.col("__event")
+    for i, x in enumerate(fields):
+        done = done.withField(x, F.col(f"__field{i}"))
+    names = [f"__field{i}" for i in range(len(fields))]
+    return marked.withColumn(body, F.coalesce("__plain", F.to_json(done.dropFields("__corrupt")))).drop("__event", "__plain", *names)

@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; where the session has none (local tests) a temporary folder is set."""
+    """A new path below ``spark.checkpoint.dir``; where a local session (tests) has none a temporary folder is set, on a cluster that raises."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='veilspark-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root}/veilspark/{label}-{uuid.uuid4().hex}"

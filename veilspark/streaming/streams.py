@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from veilspark.operators.engine import Redactor
+from veilspark.sources.requests import redact_events
 
 
 def redact_stream(redactor: Redactor, source: str, target: str, checkpoint: str, available_now: bool = True, interval: str = "10 seconds") -> StreamingQuery:
@@ -25,3 +26,16 @@ def findings_per_window(redactor: Redactor, stream: DataFrame, time: str, text:
     """Findings by rule and event-time window; rows later than ``late`` behind the watermark are dropped by Spark."""
     found = stream.withWatermark(time, late).select(time, F.inline(redactor.findings(text)))
     return found.groupBy(F.window(time, window), "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ship_events(redactor: Redactor, stream: DataFrame, body: str, schema: str, fields: list[str], target: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """JSON log events, the named fields redacted, to text files of JSON below ``target``, a folder for each micro-batch.
+
+    A batch that is run again after a failure overwrites its own folder, so every event arrives once.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        redact_events(redactor, batch, body, schema, fields).select(body).write.mode("overwrite").text(f"{target}/batch={number}")
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start() if available_now else writer.trigger(processingTime="10 seconds").start()
