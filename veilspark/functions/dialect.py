@@ -53,8 +53,9 @@ def to_java(regex: str) -> str:
     parts, at = [], 0
     for token, inside in _scan(regex):
         at = at + len(token) if regex.startswith(token, at) else -len(regex) - 1
-        if token == "\\b" and not inside and at > 0 and _BEFORE.match(regex, at):
-            parts.append("(?<![0-9A-Za-z_])")
+        before = _BEFORE.match(regex, at) if token == "\\b" and not inside and at > 0 else None
+        if before:  # the class again, which costs less to test than what is behind
+            parts.append(f"(?={before[0]})(?<![0-9A-Za-z_])")
         elif token == "\\b" and not inside and at > 0 and _AFTER.search(regex[: at - 2]):
             parts.append("(?![0-9A-Za-z_])")
         elif token == "\\b" and not inside:

@@ -23,7 +23,7 @@ def findings_function(rules: RuleSet, policy: Policy) -> type:
         def eval(self, text: str) -> Iterator[tuple]:
             if text is not None:
                 c = compiled(own, policy, True)
-                for f in (c.result(text, list(range(len(own)))) or {"findings": []})["findings"]:
+                for f in (c.result(text, c.everywhere(text)) or {"findings": []})["findings"]:
                     yield f["rule_id"], f["name"], f["line_no"], f["start"], f["end"], f["match"]
 
     return udtf(FindingsOf, returnType="rule_id int, name string, line_no int, start int, end int, match string")

@@ -37,6 +37,10 @@ _FINDING = pa.struct([("rule_id", pa.int32()), ("name", pa.string()), ("line_no"
 _RESULT = pa.struct([("redacted", pa.string()), ("modified", pa.bool_()), ("n_spans", pa.int32()), ("n_hits", pa.int32()), ("findings", pa.list_(_FINDING))])
 
 
+#: Lines of a text, by number, with the rules that may match there.
+Marks = list[tuple[int, list[int]]]
+
+
 @dataclass(frozen=True)
 class Policy:
     """How values are treated: ``mode``, what an error gives, and what becomes of lines over ``max_line_bytes``."""
@@ -152,17 +156,22 @@ class Compiled:
         limit = self.policy.max_line_bytes
         return limit is not None and self.policy.long_lines != "process" and any(len(x.encode("utf-8", "surrogatepass")) > limit for x in self.lines(text))
 
-    def result(self, text: str, active: list[int]) -> dict | None:
+    def everywhere(self, text: str) -> Marks:
+        """Marks of every rule on every line."""
+        return [(n, list(range(len(self.rules)))) for n in range(len(self.lines(text)))]
+
+    def result(self, text: str, marks: Marks) -> dict | None:
         """The full result of one value."""
         try:
             if self._too_long(text):
                 if self.policy.long_lines == "error":
                     raise ValueError(f"a line of more than {self.policy.max_line_bytes} bytes")
                 return None
-            out, findings, hits = [], [], 0
-            for n, line in enumerate(self.lines(text)):
+            out, findings, hits = self.lines(text), [], 0
+            for n, active in [(n, []) for n in range(len(out))] if self.cascade else marks:
+                line = out[n]
                 r = self.cascade.redact_line(line) if self.cascade else redact_line(self.rules, line, active)
-                out.append(r.redacted)
+                out[n] = r.redacted
                 hits += r.hits
                 findings += [{"rule_id": s.rule_id, "name": self.rules[s.rule_id].name, "line_no": n, "start": s.start, "end": s.end, "match": line[s.start : s.end]} for s in r.spans]
             redacted = "\n".join(out)
@@ -172,14 +181,17 @@ class Compiled:
                 raise
             return None if self.policy.on_error == "null" else {"redacted": MASK, "modified": True, "n_spans": 0, "n_hits": 0, "findings": []}
 
-    def redacted(self, text: str, active: list[int]) -> str | None:
+    def redacted(self, text: str, marks: Marks) -> str | None:
         """The redacted text alone: the common case without building findings."""
         if self.cascade or self.policy.on_error != "raise" or self.policy.max_line_bytes is not None:
-            r = self.result(text, active)
+            r = self.result(text, marks)
             return None if r is None else r["redacted"]
         if not self.per_line or "\n" not in text:
-            return self._line(text, active)
-        return "\n".join([self._line(x, active) for x in text.split("\n")])
+            return self._line(text, marks[0][1])
+        out = text.split("\n")
+        for n, active in marks:
+            out[n] = self._line(out[n], active)
+        return "\n".join(out)
 
     def _line(self, line: str, active: list[int]) -> str:
         spans = []
@@ -204,9 +216,22 @@ class Compiled:
             at, stop = start, -end
         return "".join((*parts, line[stop:]))
 
-    def rows(self, texts: pa.Array) -> dict[int, list[int]]:
+    def marked(self, texts: pa.Array) -> dict[int, Marks]:
+        """Rows with the lines that rules may match, and these rules: lines are screened, not whole texts."""
+        if not self.per_line or not pc.any(pc.match_substring(texts, "\n")).as_py():
+            return {k: [(0, ids)] for k, ids in self.screen(texts).items()}
+        lists = pc.split_pattern(pc.fill_null(texts, ""), "\n")
+        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        found = self.screen(lists.flatten())
+        out: dict[int, Marks] = {}
+        rows = np.searchsorted(bounds, np.fromiter(found, np.int64, len(found)), "right") - 1
+        for k, (line, ids) in zip(rows.tolist(), found.items(), strict=True):
+            out.setdefault(k, []).append((line - int(bounds[k]), ids))
+        return out
+
+    def rows(self, texts: pa.Array) -> dict[int, Marks]:
         everything = self.cascade is not None or self.policy.max_line_bytes is not None
-        found = {} if self.cascade else self.screen(texts)
+        found = {} if self.cascade else self.marked(texts)
         return {k: found.get(k, []) for k in range(len(texts))} if everything else found
 
     def redact(self, texts: pa.Array) -> pa.Array:
@@ -249,23 +274,24 @@ class Compiled:
     def findings(self, texts: pa.Array) -> pa.Array:
         found = self.rows(texts)
         out: list[list[dict] | None] = [[] if v else None for v in texts.is_valid().to_pylist()]
-        for k, active in found.items():
+        for k, marks in found.items():
             text = texts[k].as_py()
             if text is not None:
-                r = self.result(text, active)
+                r = self.result(text, marks)
                 out[k] = None if r is None else r["findings"]
         return pa.array(out, pa.list_(_FINDING))
 
     def sensitive(self, texts: pa.Array) -> pa.Array:
         flags: list[bool | None] = [False if v else None for v in texts.is_valid().to_pylist()]
-        for k, active in self.rows(texts).items():
+        for k, marks in self.rows(texts).items():
             text = texts[k].as_py()
             if text is None:
                 continue
+            lines = self.lines(text)
             if self.cascade:
-                flags[k] = any(self.cascade.redact_line(x).spans for x in self.lines(text))
+                flags[k] = any(self.cascade.redact_line(x).spans for x in lines)
             else:
-                flags[k] = any(find_spans(self.rules, x, active) for x in self.lines(text))
+                flags[k] = any(find_spans(self.rules, lines[n], active) for n, active in marks)
         return pa.array(flags, pa.bool_())
 
     def redact_lists(self, lists: pa.Array) -> pa.Array:

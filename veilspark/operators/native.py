@@ -35,6 +35,13 @@ def pattern(rule: Rule, text: Column) -> Column:
     return own if rule.literal in ("", ".") and _implied(rule) else F.when(F.contains(text, F.lit(rule.literal)), own).otherwise(F.lit(NEVER))
 
 
+def _gated(rule: Rule, text: Column, absent: Column, found: Column) -> Column:
+    """``found``, or ``absent`` without a search where the rule's literal is not in the text; null for a null text."""
+    if rule.literal in ("", "."):
+        return found
+    return F.when(~F.contains(text, F.lit(rule.literal)), absent).otherwise(found)
+
+
 def redact_chain(text: Column | str, rules: Iterable[Rule]) -> Column:
     """``text`` with the matches of each rule in turn replaced by its tag."""
     col = F.col(text) if isinstance(text, str) else text
@@ -50,19 +57,19 @@ def redact_lines_chain(text: Column | str, rules: Iterable[Rule]) -> Column:
 def hit_count(text: Column | str, rule: Rule) -> Column:
     """Matches of one rule, as a long."""
     col = F.col(text) if isinstance(text, str) else text
-    return F.regexp_count(col, pattern(rule, col)).cast("long")
+    return _gated(rule, col, F.lit(0), F.regexp_count(col, F.lit(to_java(rule.regex)))).cast("long")
 
 
 def matches(text: Column | str, rule: Rule) -> Column:
     """The matched strings of one rule."""
     col = F.col(text) if isinstance(text, str) else text
-    return F.regexp_extract_all(col, pattern(rule, col), F.lit(0))
+    return _gated(rule, col, F.array().cast("array<string>"), F.regexp_extract_all(col, F.lit(to_java(rule.regex)), F.lit(0)))
 
 
 def has_match(text: Column | str, rules: Iterable[Rule]) -> Column:
     """Whether any rule matches."""
     col = F.col(text) if isinstance(text, str) else text
-    return reduce(lambda a, b: a | b, (F.regexp_like(col, pattern(r, col)) for r in rules), F.lit(False))
+    return reduce(lambda a, b: a | b, (_gated(r, col, F.lit(False), F.regexp_like(col, F.lit(to_java(r.regex)))) for r in rules), F.lit(False))
 
 
 def any_literal(text: Column | str, rules: RuleSet) -> Column:
