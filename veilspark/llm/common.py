@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -51,6 +52,20 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def released(run: Run) -> Run:
+    """``run``, after which its worker gives the memory of its arrays back: workers are used again by later stages."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return whole
+
+
 def in_slices(run: Run, column: int) -> Run:
     """``run`` over batches cut so that the strings of one column have ``BATCH_BYTES`` at most, but for single rows of more.
 
@@ -71,7 +86,7 @@ def in_slices(run: Run, column: int) -> Run:
                 yield b.slice(at, stop - at)
                 at = stop
 
-    return lambda batches: run(cut(batches))
+    return released(lambda batches: run(cut(batches)))
 
 
 def shared_root(spark: SparkSession) -> str:

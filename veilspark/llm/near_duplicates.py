@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import bit_filter, bound_batches, discard, in_slices, materialized, may_hold, quoted, salted_join, strings
+from veilspark.llm.common import bit_filter, bound_batches, discard, in_slices, materialized, may_hold, quoted, released, salted_join, strings
 from veilspark.llm.components import components
 
 SHINGLE = 5
@@ -325,7 +325,7 @@ def _level(rows: DataFrame, depth: int, floor: int, scratch: list[str]) -> DataF
                 blank = pa.nulls(len(node), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), SEARCHED, np.int8)), bucket, tail, node, blank, blank, blank], LEVEL)
 
-    return materialized(dealt.mapInArrow(run, "kind byte, bucket long, tail long, a long, b long, s0 long, s1 long"), "forest", scratch)
+    return materialized(dealt.mapInArrow(released(run), "kind byte, bucket long, tail long, a long, b long, s0 long, s1 long"), "forest", scratch)
 
 
 def candidate_stars(nodes: DataFrame, scratch: list[str]) -> DataFrame:
@@ -370,7 +370,7 @@ def candidate_stars(nodes: DataFrame, scratch: list[str]) -> DataFrame:
             a, b = _stars(_starts(t, 4), node, size, np.stack([s0, s1], axis=1).view(np.uint64), may)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return stars.union(pairs.mapInArrow(run, "a long, b long")).distinct()
+    return stars.union(pairs.mapInArrow(released(run), "a long, b long")).distinct()
 
 
 def verification_groups(stars: DataFrame, nodes: DataFrame, scratch: list[str]) -> DataFrame:
@@ -397,7 +397,7 @@ def common_counts(joined: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     values, owner = joined[order], owner[order]
     starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.empty(0, np.int64)
     runs = np.diff(np.r_[starts, len(values)])
-    counts = np.zeros(m * m, np.int64)
+    counts = np.zeros(m * m, np.int32)
     length = np.repeat(runs, runs)
     run = np.repeat(np.arange(len(runs)), runs)
     at = np.flatnonzero((length > 1) & (length <= LONG_RUN))
@@ -406,7 +406,7 @@ def common_counts(joined: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         i = i[run[i] == run[i + o]]
         if not len(i):
             break
-        counts += np.bincount(owner[i] * m + owner[i + o], minlength=m * m)
+        np.add(counts, np.bincount(owner[i] * m + owner[i + o], minlength=m * m), out=counts, casting="unsafe")
     counts = counts.reshape(m, m)
     long = np.flatnonzero(runs > LONG_RUN)
     for k in range(0, len(long), 4096):
@@ -414,7 +414,7 @@ def common_counts(joined: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         table = np.zeros((m, len(own)), np.float32)
         for c, g in enumerate(own):
             table[owner[starts[g] : starts[g] + runs[g]], c] = 1
-        counts += np.triu(table @ table.T, 1).astype(np.int64)
+        counts += np.triu(table @ table.T, 1).astype(np.int32)
     return counts
 
 
@@ -457,7 +457,7 @@ def verified_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: s
                 own = np.arange(a, b)[np.r_[True, node[a + 1 : b] != node[a : b - 1]]]
                 if len(own) < 2:
                     continue
-                sizes = offsets[own + 1] - offsets[own]
+                sizes = (offsets[own + 1] - offsets[own]).astype(np.int32)
                 joined = np.concatenate([values[offsets[k] : offsets[k + 1]] for k in own])
                 common = common_counts(joined, sizes)
                 total = sizes[:, None] + sizes[None, :]
@@ -475,7 +475,7 @@ def verified_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: s
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["node", "root", "links"])
 
-    return dealt.mapInArrow(run, "node long, root long, links long")
+    return dealt.mapInArrow(released(run), "node long, root long, links long")
 
 
 def _share(joined: np.ndarray, sizes: np.ndarray) -> np.ndarray:
