@@ -68,6 +68,13 @@ def test_other_texts_are_rejected(spark):
     assert all(r.lang_pred in model.languages and not r.accepted for r in language.predict_documents(foreign, model).collect())
 
 
+def test_labels_beyond_the_bound_are_not_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    rows = [(i, f"some words of text number {i}", ["a", "a", "b", "b", f"odd{i}"][i % 5]) for i in range(100)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ("a", "b")
+
+
 def naive(model, text):
     """Language, probability and deviation, with one subword at a time."""
     if text is None or not model.languages or not any(unicodedata.category(c)[0] == "L" for c in text):

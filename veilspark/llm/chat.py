@@ -9,7 +9,8 @@ The output is one row per conversation: its formatted text and the code-point sp
 assistant turns). A conversation too large for one batch gives several consecutive parts, so memory stays bounded.
 
 Defined results: null texts and roles are empty; turns with equal numbers are ordered by role, then text, null turns
-come first; repeated rows are turns of their own; a null conv_id is a conversation; an empty table gives no row;
+come first; repeated rows are turns of their own; a null conv_id is a conversation; an empty table gives no row; ids
+and turns are integers (a text that is no number raises);
 columns other than the four named ones are never read.
 """
 

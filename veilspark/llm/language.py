@@ -2,7 +2,8 @@
 
 A text is the mean of the embeddings of its hashed subwords (runs of 2 to 4 bytes of its lower-cased letters, words set
 apart by spaces); a linear softmax on the mean gives the languages' probabilities. Both are trained by stochastic
-gradient descent in numpy on the driver, on a sample bounded by ``PER_LANGUAGE`` documents of each language; only hashed
+gradient descent in numpy on the driver, on a sample bounded by ``PER_LANGUAGE`` documents of each of the
+``MOST_LANGUAGES`` most frequent languages; only hashed
 counts of the sample leave the executors. As the model is linear in the mean, prediction looks up one number per subword
 and language, over whole texts.
 
@@ -32,8 +33,8 @@ from pyspark.sql import types as T
 
 from veilspark.llm.common import bound_batches, in_slices, map_rows
 
-#: Documented bound of the training sample, per language.
-PER_LANGUAGE = 500
+#: Documented bounds of the training sample: documents of each language, and languages, those with most documents.
+PER_LANGUAGE, MOST_LANGUAGES = 500, 200
 BUCKETS, DIMENSION = 1 << 15, 16
 ORDERS = (2, 3, 4)
 EPOCHS, BATCH, RATE, SEED = 10, 16, 0.5, 7
@@ -231,11 +232,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     order = F.xxhash64(F.lit(SEED), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     labelled = labelled.select(F.col(lang_col).alias("lang"), order.alias("order"), F.col(text_col).alias("text"))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    # A label column may hold anything: only the most frequent labels are languages to learn.
+    most = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    counts = {r["lang"]: r["count"] for r in most.collect()}
     if not counts:
         return train([])
     # A first thinning by the hash, so that only about the bound of each language is ordered.
-    share = F.coalesce(F.create_map(*(F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 1.5 * per_language / n + 50 / n))))[F.col("lang")], F.lit(1.0))
+    share = F.coalesce(F.create_map(*(F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 1.5 * per_language / n + 50 / n))))[F.col("lang")], F.lit(0.0))
     thinned = labelled.where(F.pmod("order", F.lit(1 << 20)) < share * (1 << 20))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("order", F.lit(1 << 20)), "order", "text"))
     sample = thinned.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "rank", "text")

@@ -6,7 +6,8 @@ its minimum, packs the differences at the width that holds ``PERCENT`` of them,
 committer, so a retried task replaces what it had begun and any Hadoop path works.
 
 Defined results: a null text is encoded as an empty one; rows with equal ids are all written, ordered by id, then text;
-null ids come first; an empty table gives no shard; other columns are never read.
+null ids come first; ids are integers (a text that is no number raises); an empty table gives no shard; other columns
+are never read.
 """
 
 from __future__ import annotations
