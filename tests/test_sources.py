@@ -40,6 +40,19 @@ def test_requests(spark):
     assert got[2] is None and json.loads(got[3])["redacted"] == "é [REDACTED:email]"
 
 
+def test_odd_bodies_let_nothing_through(spark):
+    bodies = [
+        r'{"text": "\ud800 a@b.cc"}', '{"text": "x", "text": "a@b.cc"}', '{"text": 5}', "[]", '{"text": null}', '{"text": ["a@b.cc"]}', '{"text": {"a": "a@b.cc"}}', '{"text": "a@b.cc', '"a@b.cc"', "", "\x00",
+        '{"other": "a@b.cc"}', '{"text": "a\\u0040b.cc"}', '{"text": "' + "[" * 3000 + '"}', "[" * 2000, None,
+    ]
+    got = [r.response for r in redact_requests(Redactor(spark), spark.createDataFrame([(x,) for x in bodies], "body string"), "body").collect()]
+    assert len(got) == len(bodies) and not any("a@b.cc" in x for x in got if x)
+    assert json.loads(got[12])["redacted"] == "[REDACTED:email]"
+    batches = [x and x.replace('"text"', '"texts"') for x in bodies] + ['{"texts": ["a@b.cc", null, 5, "x"]}', '{"texts": []}']
+    got = [r.response for r in redact_batch_requests(Redactor(spark), spark.createDataFrame([(x,) for x in batches], "body string"), "body").collect()]
+    assert len(got) == len(batches) and not any("a@b.cc" in x for x in got if x) and json.loads(got[-1])["results"] == []
+
+
 def test_batch_requests(spark):
     body = json.dumps({"texts": ["normal line", "x a@b.cc", "another"]})
     got = json.loads(redact_batch_requests(Redactor(spark), spark.createDataFrame([(body,)], "body string"), "body").first().response)
