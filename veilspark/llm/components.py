@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import discard, materialized, salted_join
+from veilspark.llm.common import discard, materialized
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` ``(a, b)`` of longs to ``(node, root)``: every node that has an edge, and the least node of its component.
 
-    Loops and repeated edges are allowed; no edges give no rows. Only counts and checksums reach the driver. The edges of a
-    large component's root are dealt over salts.
+    Loops and repeated edges are allowed; no edges give no rows. Only counts and checksums reach the driver. Rows are two
+    numbers; where the edges of one root make a partition too large, adaptive execution splits it.
     """
     start = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     held: list[str] = []
@@ -24,9 +24,9 @@ def components(edges: DataFrame) -> DataFrame:
         seen = (n, check)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("w"))
-        large = salted_join(both, low, ["u"], "v").where("v > u").select(F.col("v").alias("u"), F.col("w").alias("v")).distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("w").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("w"))
-        small = salted_join(large, low, ["u"], "v")
+        small = large.join(low, "u")
         last, held = held, []
         e = materialized(
             small.where("v <> w").select(F.col("v").alias("u"), F.col("w").alias("v")).union(low.select("u", F.col("w").alias("v"))).distinct(), "edges", held
